@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom import schema
 from codeloom.operators import dml
+from codeloom.session import cut
 
 
 @dataclass
 class Graph:
     """A snapshot of the graph.
 
-    ``edge_rows`` and ``ref_rows`` are upper bounds on the row counts where the
+    ``node_rows``, ``edge_rows`` and ``ref_rows`` are upper bounds on the row counts where the
     caller knows them (Parquet footers); they let joins skip the search for hot
     keys when no key can be hot. ``stored`` says that the relations are plain
     table scans, so reading them repeatedly costs no recomputation.
@@ -27,6 +28,7 @@ class Graph:
     files: DataFrame | None = None
     sources: DataFrame | None = None
     frameworks: list[str] = field(default_factory=list)
+    node_rows: int | None = None
     edge_rows: int | None = None
     ref_rows: int | None = None
     stored: bool = False
@@ -35,6 +37,17 @@ class Graph:
     def spark(self) -> SparkSession:
         return self.nodes.sparkSession
 
+    def store(self) -> "Graph":
+        """Write derived relations to the shared folder once, so that plans that
+        read them several times do not recompute them; row counts come along."""
+        if self.stored:
+            return self
+        nodes, node_rows = cut(self.nodes)
+        edges, edge_rows = cut(self.edges)
+        refs, ref_rows = cut(self.refs) if self.refs is not None else (None, None)
+        return replace(self, nodes=nodes, edges=edges, refs=refs, node_rows=node_rows,
+                       edge_rows=edge_rows, ref_rows=ref_rows, stored=True)
+
     # -- point reads ------------------------------------------------------
     def node(self, node_id: str) -> DataFrame:
         return self.nodes.filter(F.col("id") == node_id)
@@ -70,7 +83,7 @@ class Graph:
         """Add edges: endpoints must exist, duplicates are ignored."""
         kept = dml.filter_dangling(new, self.nodes)
         merged = dml.dedupe_edges(self.edges.unionByName(kept, allowMissingColumns=True))
-        return Graph(self.nodes, merged, self.refs, self.files, self.sources, self.frameworks)
+        return replace(self, edges=merged, edge_rows=None, stored=False)
 
     # -- counts -----------------------------------------------------------
     def stats(self) -> DataFrame:
