@@ -43,7 +43,7 @@ def dedupe_edges(edges: DataFrame) -> DataFrame:
     """One edge per (source, target, kind, line, col); null positions compare equal.
 
     The survivor among equal keys is the smallest by provenance and metadata."""
-    key = EDGE_KEY + ["line", "col"]
+    key = [c for c in EDGE_KEY + ["line", "col"] if c in edges.columns]
     rest = [c for c in edges.columns if c not in key]
     if not rest:
         return edges.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
@@ -52,7 +52,7 @@ def dedupe_edges(edges: DataFrame) -> DataFrame:
     order = F.struct(*text)
     return (
         edges.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_r"))
-        .select("source", "target", "kind", "line", "col", "_r.*")
+        .select(*key, "_r.*")
         .select(*edges.columns)
     )
 

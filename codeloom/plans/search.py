@@ -13,7 +13,7 @@ from codeloom import schema
 from codeloom.functions.text import fold_accents, identifier_segments, word_runs
 from codeloom.graph import Graph
 from codeloom.operators.skew import lookup_join
-from codeloom.session import cut
+from codeloom.session import cut, spread
 
 # Parameters of the ranking function.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
@@ -96,14 +96,15 @@ def bm25_scan(docs: DataFrame, text_columns: list[str], query: str) -> DataFrame
     phrases = list(dict.fromkeys(p for alt in alternatives for p in alt))
     names = {p: f"_f{i}" for i, p in enumerate(phrases)}
     fields = ["_len", *names.values()]
-    per_text = docs.withColumn("_c", _counts([F.col(c).cast("string") for c in text_columns], phrases))
+    per_text = spread(docs).withColumn("_c", _counts([F.col(c).cast("string") for c in text_columns], phrases))
     counted = per_text.select(
         *docs.columns,
         *[F.aggregate(F.col(f"_c.{f}"), F.lit(0), lambda acc, x: acc + x).alias(f) for f in fields])
     corpus = counted.agg(
         F.count(F.lit(1)).alias("total"), F.avg("_len").alias("mean"),
         *[F.count_if(F.col(n) > 0).alias("n" + n) for n in names.values()])
-    stat = {c: corpus.select(c).scalar() for c in corpus.columns}
+    # One subquery for all statistics: it is planned and run once.
+    stat = corpus.select(F.struct("*").alias("s")).scalar()
     score = _score([F.col(n) for n in names.values()], F.col("_len"), stat["total"], stat["mean"],
                    [stat["n" + n] for n in names.values()])
     return (
@@ -153,9 +154,9 @@ def bm25_index(postings: DataFrame, corpus: DataFrame, query: str) -> DataFrame:
     counted = relevant.groupBy("id", "kind", "dl").agg(
         *[F.coalesce(F.sum(F.when(is_term(p), F.col("tf"))), F.lit(0)).alias(n) for p, n in names.items()])
     with_term = counted.agg(*[F.count_if(F.col(n) > 0).alias("n" + n) for n in names.values()])
-    score = _score([F.col(n) for n in names.values()], F.col("dl"),
-                   corpus.select("total").scalar(), corpus.select("mean").scalar(),
-                   [with_term.select("n" + n).scalar() for n in names.values()])
+    stat, held = (df.select(F.struct("*").alias("s")).scalar() for df in (corpus.select("total", "mean"), with_term))
+    score = _score([F.col(n) for n in names.values()], F.col("dl"), stat["total"], stat["mean"],
+                   [held["n" + n] for n in names.values()])
     return counted.filter(_accepts(alternatives, names)).select("id", "kind", score.alias("score"))
 
 

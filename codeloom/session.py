@@ -60,3 +60,10 @@ def cut(df: DataFrame) -> tuple[DataFrame, int]:
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give per-row heavy work at least one task per core. Inputs that already
+    come in enough splits (any large table) are left where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
