@@ -62,8 +62,10 @@ def cut(df: DataFrame) -> tuple[DataFrame, int]:
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give per-row heavy work at least one task per core. Inputs that already
-    come in enough splits (any large table) are left where they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(scan: DataFrame) -> DataFrame:
+    """Give per-row heavy work on a table scan at least one task per core.
+
+    Only for plain scans: their split count is known without running anything.
+    A table that comes in enough splits (any large one) is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as tx
 from codeloom.plans import search
+from codeloom.session import spread
 from codeloom.sources.tables import order_graph, table
 from registry.graph_queries import NODES_SQL
 
@@ -42,7 +43,7 @@ def _segments(s, d):
 
 
 def _prose(s, d):
-    docs = table(s, d, "documents").select(F.col("doc_id").alias("key"), "text")
+    docs = spread(table(s, d, "documents").select(F.col("doc_id").alias("key"), "text"))
     return docs.select("key", F.explode(tx.prose_candidates(F.col("text"))).alias("word"))
 
 
@@ -70,7 +71,7 @@ def bm25_sql(base: str, key: str, text: str, tests: dict[str, str], accept: str)
 
 def _bm25(query):
     def run(s, d):
-        docs = table(s, d, "documents").select("doc_id", "text")
+        docs = spread(table(s, d, "documents").select("doc_id", "text"))
         return search.bm25_scan(docs, ["text"], query).select("doc_id", F.round("score", 6).alias("score"))
     return run
 
