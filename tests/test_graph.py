@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from codeloom.graph import Graph
 from codeloom.operators import dml
@@ -120,4 +119,3 @@ def test_upsert_and_failed(spark):
     bad = spark.createDataFrame([("", "class", "n", None, "f", "java"), ("i", "class", "n", None, "f", "java")],
                                 "id string, kind string, name string, qualified_name string, file_path string, language string")
     assert [tuple(r)[:4] for r in dml.valid_nodes(bad).collect()] == [("i", "class", "n", "n")]
-    assert F is not None
