@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.base import constants, flat, mix, pieces, stored, whole_groups
+from codeloom.llm.base import constants, flat, mix, pieces, powers, stored, whole_groups
 from codeloom.llm.components import components
 from codeloom.session import broadcast_rows, cut
 
@@ -32,19 +32,8 @@ _FACTORS = constants(SYMBOLS, 11)
 _PLACES = constants(WORDS, 12)
 _LETTERS = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
 _LETTERS[65:91] = _LETTERS[97:123]  # A-Z as a-z
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64, at least n of each; kept by the worker."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (_BASE, inverse)]
-    return _powers[0], _powers[1]
 
 
 def shingles(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:

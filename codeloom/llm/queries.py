@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe_trie, hamming_dedup, packing, quality, sharding, url_filter
+from codeloom.llm import bpe_trie, hamming_dedup, packing, quality, sharding, suffix_dedup, url_filter
 from codeloom.llm.base import table
 
 
@@ -21,6 +21,10 @@ def op6(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op7(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8(spark, sf_dir):
     return hamming_dedup.find(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ QUERIES = {
     "op3_quality_knn": (op3, None),
     "op4_bpe_trie": (op4, None),
     "op6_feistel_shards": (op6, None),
+    "op7_suffix_array": (op7, None),
     "op8_hamming_minhash": (op8, None),
     "op9_url_filter": (op9, None),
     "op10_best_fit_packing": (op10, None),
