@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe_trie, hamming_dedup, packing, quality, sharding, suffix_dedup, url_filter
+from codeloom.llm import bpe_trie, hamming_dedup, line_dedup, packing, quality, sharding, suffix_dedup, url_filter
 from codeloom.llm.base import table
 
 
@@ -17,6 +17,10 @@ def op4(spark, sf_dir):
     return bpe_trie.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5(spark, sf_dir):
+    return line_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10(spark, sf_dir):
 QUERIES = {
     "op3_quality_knn": (op3, None),
     "op4_bpe_trie": (op4, None),
+    "op5_line_suffix_array": (op5, line_dedup.SQL),
     "op6_feistel_shards": (op6, None),
     "op7_suffix_array": (op7, None),
     "op8_hamming_minhash": (op8, None),
@@ -49,7 +54,9 @@ QUERIES = {
 
 
 def all_queries():
-    return {name: fn for name, (fn, _) in QUERIES.items()}
+    import corpus_pipeline
+
+    return {name: fn for name, (fn, _) in QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def all_sql():
