@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe_trie, hamming_dedup, line_dedup, packing, quality, sharding, suffix_dedup, url_filter
+from codeloom.llm import bpe_trie, hamming_dedup, line_dedup, packing, quality, rp_forest, sharding, suffix_dedup, url_filter
 from codeloom.llm.base import table
 
 
+def op2(spark, sf_dir):
+    return rp_forest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -42,6 +46,7 @@ def op10(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_rp_forest": (op2, None),
     "op3_quality_knn": (op3, None),
     "op4_bpe_trie": (op4, None),
     "op5_line_suffix_array": (op5, line_dedup.SQL),
