@@ -26,7 +26,7 @@ GROUP_LEVELS, GROUP_ROWS = 4, 8192
 class Forest:
     """Split planes and split points of all trees; its size depends on the number of leaves, at most SAMPLE / 16 a tree."""
 
-    def __init__(self, sample: np.ndarray, rows: int, k: int, trees: int = TREES):
+    def __init__(self, sample: np.ndarray, ids: np.ndarray, rows: int, k: int, trees: int = TREES):
         self.dim = sample.shape[1] if sample.size else 1
         self.depth = max(0, min(math.ceil(math.log2(max(1, rows / LEAF_ROWS))), int(math.log2(max(1, len(sample) / 16)))))
         nodes = (1 << self.depth) - 1
@@ -42,7 +42,7 @@ class Forest:
                 self.splits[t, node] = np.median(side) if len(own) else 0.0
                 inside[2 * node + 1], inside[2 * node + 2] = own[side < self.splits[t, node]], own[side >= self.splits[t, node]]
         self.rows, self.k = rows, k
-        self.sample = sample[:4096]
+        self.sample, self.sample_ids = sample[:4096], ids[:4096]
         self.square = float((sample ** 2).sum(1).mean()) if len(sample) else 1.0
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
@@ -108,8 +108,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
     schema = "query_id long, rank int, vec_id long, score double"
     if n == 0:
         return spark.createDataFrame([], schema)
-    sample = [r.vec for r in rows.orderBy(F.xxhash64("id"), "vec").limit(SAMPLE).select("vec").collect()]
-    shared = spark.sparkContext.broadcast(Forest(matrix(sample, kind), n, k))
+    sample = rows.orderBy(F.xxhash64("id"), "vec").limit(SAMPLE).collect()
+    shared = spark.sparkContext.broadcast(Forest(matrix([r.vec for r in sample], kind), np.array([r.id for r in sample]), n, k))
 
     def deal(batches):
         for batch in batches:
@@ -143,9 +143,24 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
                     piece.column("id").take(pa.array(out["at"], pa.int64())), piece.column("vec").take(pa.array(out["at"], pa.int64()))],
                     names=["tree", "part", "leaves", "id", "vec"])
 
+    def seeds(batches):
+        """The k best rows of the sample: candidates that every query has, and the bound for all others."""
+        forest = shared.value
+        for batch in batches:
+            q, qid = matrix(batch.column("vec"), kind), batch.column("id").to_numpy()
+            for s in range(0, len(q), 256):
+                score = q[s:s + 256] @ forest.sample.T
+                score[qid[s:s + 256, None] == forest.sample_ids] = -np.inf
+                best = [np.lexsort((forest.sample_ids, -x))[:k] for x in score]
+                best = [b[x[b] > -np.inf] for b, x in zip(best, score)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(qid[s:s + 256], [len(b) for b in best])), pa.array(forest.sample_ids[np.concatenate(best)]),
+                    pa.array(np.concatenate([x[b] for b, x in zip(best, score)]))], names=["query_id", "vec_id", "score"])
+
     form = "tree int, part int, leaves array<long>, id long, vec binary"
     members = rows.mapInArrow(deal, form)
-    asked = rows.where(F.col("id") % every == 0).mapInArrow(ask, form)
+    queries = rows.where(F.col("id") % every == 0)
+    asked = queries.mapInArrow(ask, form)
     sizes = members.groupBy("tree", "part").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("subs"))
     members = members.join(sizes, ["tree", "part"]).withColumn("sub", F.pmod(F.xxhash64("id"), "subs").cast("int")).withColumn("kind", F.lit(0))
     asked = asked.join(sizes, ["tree", "part"]).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).withColumn("kind", F.lit(1))
@@ -196,6 +211,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
     cols = ["tree", "part", "sub", "kind", "leaves", "id", "vec"]
     both = members.select(*cols).unionByName(asked.select(*cols)).repartition(parts, "tree", "part", "sub")
     found = both.sortWithinPartitions("tree", "part", "sub", "kind").mapInArrow(scored, "query_id long, vec_id long, score double")
+    found = found.unionByName(queries.mapInArrow(seeds, "query_id long, vec_id long, score double"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(
         F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
