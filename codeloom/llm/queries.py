@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe_trie, hamming_dedup, line_dedup, packing, quality, rp_forest, sharding, suffix_dedup, url_filter
+from codeloom.llm import bpe_trie, hamming_dedup, line_dedup, packing, quality, rp_forest, sharding, suffix_dedup, url_filter, vector_graph
 from codeloom.llm.base import table
 
 
+def op1(spark, sf_dir):
+    return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2(spark, sf_dir):
     return rp_forest.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -46,6 +50,7 @@ def op10(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_vector_graph": (op1, None),
     "op2_rp_forest": (op2, None),
     "op3_quality_knn": (op3, None),
     "op4_bpe_trie": (op4, None),
