@@ -24,9 +24,7 @@ WORDS = 5
 #: Least similarity in hundredths.
 LEAST = 75
 #: Rows of a bucket that are compared at a time; larger buckets are split into pairs of blocks.
-BLOCK = 512
-#: Bytes of shingle sets that one verification cell should hold at most.
-CELL_BYTES = 32 << 20
+BLOCK = 256
 
 _FACTORS = constants(SYMBOLS, 11)
 _PLACES = constants(WORDS, 12)
@@ -97,8 +95,8 @@ def keys_of(signatures: np.ndarray) -> np.ndarray:
 
 def first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For pairs of signatures: number of the first key that both have, -1 where they share none."""
-    same = (a == b).reshape(len(a), -1, CHUNK)
-    hit = np.stack([same.sum(2) - same[:, :, m] == CHUNK - 1 for m in range(CHUNK)], axis=2).reshape(len(a), -1)
+    same = (a == b).reshape(len(a), SYMBOLS // CHUNK, CHUNK)
+    hit = np.stack([same.sum(2) - same[:, :, m] == CHUNK - 1 for m in range(CHUNK)], axis=2).reshape(len(a), SYMBOLS)
     return np.where(hit.any(1), hit.argmax(1), -1)
 
 
@@ -137,22 +135,23 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
 
 
 def compared(buckets: DataFrame, classes: DataFrame, labels: DataFrame, nearest: bool) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of classes in different components whose signatures are within the radius.
+    """Candidate pairs of classes in different components whose signatures are within the radius and whose set sizes
+    allow the similarity: one row (key, bi, bj, ids, pairs) per bucket cell that has any, with the pairs packed.
 
-    ``nearest``: for every class and bucket only its nearest such partner; else all pairs, each given out under the
-    first key that it shares. A bucket of over BLOCK rows is split into blocks, and every pair of blocks is a group of
-    its own, so no task gathers a bucket."""
+    A pair belongs to the first key that it shares, so it is given out once. ``nearest``: for every class and cell only
+    its nearest such partner; else all. A bucket of over BLOCK rows is split into blocks, and every pair of blocks is a
+    cell of its own, so no task gathers a bucket and no pair is a row."""
     rows = buckets.join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     apart = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rows = rows.join(apart, "key", "left_semi").join(classes.select("id", "sig"), "id")
+    rows = rows.join(apart, "key", "left_semi").join(classes.select("id", "n", "sig"), "id")
     blocks = F.ceil(F.col("n_bucket") / BLOCK).cast("int")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "id", "comp", "sig")
+    rows = rows.select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "id", "comp", "n", "sig")
 
     def run(batches):
         for t in whole_groups(batches, ["key", "bi", "bj"]):
-            key, bi, bj, blk, ids, comp = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "bi", "bj", "blk", "id", "comp"))
+            key, bi, bj, blk, ids, comp, size = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "bi", "bj", "blk", "id", "comp", "n"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
             same = (key[1:] == key[:-1]) & (bi[1:] == bi[:-1]) & (bj[1:] == bj[:-1])
             group = np.r_[0, np.cumsum(~same)]
@@ -168,71 +167,70 @@ def compared(buckets: DataFrame, classes: DataFrame, labels: DataFrame, nearest:
                     i = left[s:s + (1 << 16)]
                     j = i + d
                     ok = (comp[i] != comp[j]) & ((blk[i] != blk[j]) | (bi[i] == bj[i]))
+                    ok &= 100 * np.minimum(size[i], size[j]) >= LEAST * np.maximum(size[i], size[j])
                     i, j = i[ok], j[ok]
                     if not len(i):
                         continue
                     a, b = sig[i], sig[j]
                     dist = (a != b).sum(1)
                     ok = dist <= RADIUS
-                    i, j, dist, a, b = i[ok], j[ok], dist[ok], a[ok], b[ok]
+                    ok[ok] = first_key(a[ok], b[ok]) == (key[i[ok]] >> 48)
+                    i, j, dist = i[ok], j[ok], dist[ok]
                     if nearest:
                         for x, y in ((i, j), (j, i)):
                             closer = (dist < best[x]) | ((dist == best[x]) & (ids[y] < ids[partner[x]]))
                             best[x[closer]], partner[x[closer]] = dist[closer], y[closer]
-                    elif len(i):
-                        own = first_key(a, b) == (key[i] >> 48)
-                        found.append(np.stack([ids[i[own]], ids[j[own]]], axis=1))
+                    else:
+                        found.append(np.stack([i, j], axis=1))
             if nearest:
                 x = np.flatnonzero(partner >= 0)
-                found.append(np.stack([ids[x], ids[partner[x]]], axis=1))
+                found = [np.unique(np.sort(np.stack([x, partner[x]], axis=1), axis=1), axis=0)]
             pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-            if nearest:
-                pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1) if len(pairs) else pairs[:, 0]), pa.array(pairs.max(1) if len(pairs) else pairs[:, 0])], names=["a", "b"])
+            pairs = pairs[np.argsort(group[pairs[:, 0]], kind="stable")]
+            turn = np.flatnonzero(np.r_[True, np.diff(group[pairs[:, 0]]) != 0, True]) if len(pairs) else np.zeros(1, int)
+            cells = [pairs[x:y] for x, y in zip(turn[:-1], turn[1:])]
+            at = np.array([c[0, 0] for c in cells], np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(key[at]), pa.array(bi[at]), pa.array(bj[at]), pa.array([ids[np.unique(c)] for c in cells], pa.list_(pa.int64())),
+                pa.array([ids[c].astype(np.int64).tobytes() for c in cells], pa.binary())], names=["key", "bi", "bj", "ids", "pairs"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(run, "a long, b long").distinct()
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= 75 * union. ``sets(id, n, set)``.
-
-    Pairs that touch the same component are confirmed together, so a set is sent once for many pairs; a component with
-    many pairs is cut into cells by both ids, and a cell's sets fit in CELL_BYTES or so."""
-    small = sets.select("id", "n")
-    named = pairs.join(labels.select(F.col("id").alias("b"), "component"), "b", "left").join(small.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(
-        small.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    # Sets too unequal in size cannot be similar enough.
-    named = named.where(100 * F.least("na", "nb") >= LEAST * F.greatest("na", "nb")).withColumn("g", F.coalesce("component", "a"))
-    named = stored(named.select("a", "b", "g", ((F.col("na") + F.col("nb")) * 8).alias("bytes")))
-    size = named.groupBy("g").agg(F.ceil(F.sqrt(F.sum("bytes") / CELL_BYTES)).cast("int").alias("side"))
-    cells = named.join(size, "g").select("a", "b", "g", F.pmod(F.xxhash64("a"), F.col("side")).alias("x"), F.pmod(F.xxhash64("b"), F.col("side")).alias("y"))
-    who = cells.select("g", "x", "y", F.col("a").alias("id")).unionByName(cells.select("g", "x", "y", F.col("b").alias("id"))).distinct()
-    given = who.join(sets.select("id", "set"), "id").select("g", "x", "y", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "set")
-    asked = cells.select("g", "x", "y", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("set"))
+    return rows.repartition(n, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(
+        run, "key long, bi int, bj int, ids array<long>, pairs binary")
+
+
+def confirmed(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): the pairs whose full sets have 100 * intersection >= 75 * union. ``sets(id, n, set)``.
+
+    A set is sent once to each cell that has pairs of it; a cell holds the sets of two blocks at most."""
+    at = ["key", "bi", "bj"]
+    who = cells.select(*at, F.explode("ids").alias("id"))
+    given = who.join(sets.select("id", "set"), "id").select(*at, F.lit(0).alias("kind"), "id", F.col("set").alias("body"))
+    asked = cells.select(*at, F.lit(1).alias("kind"), F.lit(None).cast("long").alias("id"), F.col("pairs").alias("body"))
 
     def run(batches):
         cell, held = None, {}
         for batch in batches:
-            g, x, y, kind, a, b = (batch.column(c).to_pylist() for c in ("g", "x", "y", "kind", "a", "b"))
-            s = batch.column("set")
+            where = list(zip(*(batch.column(c).to_pylist() for c in at)))
+            kind, ids, body = batch.column("kind").to_pylist(), batch.column("id").to_pylist(), batch.column("body")
             links = []
             for i in range(batch.num_rows):
-                if (g[i], x[i], y[i]) != cell:
-                    cell, held = (g[i], x[i], y[i]), {}
+                if where[i] != cell:
+                    cell, held = where[i], {}
                 if kind[i] == 0:
-                    held[a[i]] = np.frombuffer(s[i].as_py(), np.uint64)
-                else:
-                    p, q = held[a[i]], held[b[i]]
+                    held[ids[i]] = np.frombuffer(body[i].as_py(), np.uint64)
+                    continue
+                for a, b in np.frombuffer(body[i].as_py(), np.int64).reshape(-1, 2).tolist():
+                    p, q = held[a], held[b]
                     both = np.concatenate([p, q])
                     both.sort()
                     common = int((both[1:] == both[:-1]).sum())
                     if 100 * common >= LEAST * (len(p) + len(q) - common):
-                        links.append((a[i], b[i]))
+                        links.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
 
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return given.unionByName(asked).repartition(n, "g", "x", "y").sortWithinPartitions("g", "x", "y", "kind").mapInArrow(run, "a long, b long")
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return given.unionByName(asked).repartition(n, *at).sortWithinPartitions(*at, "kind").mapInArrow(run, "a long, b long")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -264,9 +262,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     buckets = bucket_rows(classes)
     sets = sets_of(docs, classes, buckets.select("id").distinct())
     nobody = docs.sparkSession.createDataFrame([], "id long, component long")
-    links = stored(confirmed(stored(compared(buckets, classes, nobody, True)), sets, nobody))
+    links = stored(confirmed(stored(compared(buckets, classes, nobody, True)), sets))
     labels = components(links)
-    rest = confirmed(stored(compared(buckets, classes, labels, False)), sets, labels)
+    rest = confirmed(stored(compared(buckets, classes, labels, False)), sets)
     joined = components(links.unionByName(rest))
     out = classes.join(joined, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
     return rows, out.select("fp", F.col("component").alias("component_id"))
