@@ -237,13 +237,17 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.coalesce("cut_sha", "sha").alias("kept_sha256"))
 
 
-def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
+def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the repeated strings cut from ``text``; bytes of letters that a cut breaks are dropped. A null text
     stays null, other columns stay as they are."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    _, cuts = found_cuts(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-                         if "doc_id" not in docs.columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
-    whole = F.regexp_replace(F.decode(F.col("_kept"), "utf-8"), "�", "")
+    _, cuts = found_cuts(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+
+    def decoded(batches):
+        for batch in batches:
+            kept = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(kept, pa.string())], names=["_key", "_kept"])
+
+    left = cuts.select("key", "kept").mapInArrow(decoded, "_key binary, _kept string")
     keyed_docs = docs.withColumn("_key", F.unhex(F.md5(body.cast("binary"))))
-    joined = keyed_docs.join(cuts.select(F.col("key").alias("_key"), F.col("kept").alias("_kept")), "_key", "left")
-    return joined.withColumn(text, F.when(F.col("_kept").isNull(), F.col(text)).otherwise(whole)).select(*docs.columns)
+    return keyed_docs.join(left, "_key", "left").withColumn(text, F.coalesce("_kept", text)).select(*docs.columns)
