@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -10,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.session import shared_dir
+
 #: (verdict, host, path) of the rules; the longest host + path that fits decides.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -97,7 +100,11 @@ def fit(labelled: DataFrame) -> LogisticRegressionModel | float:
     classes = sorted(r.label for r in rows.select(F.col("blocked").cast("double").alias("label")).distinct().collect())
     if len(classes) < 2:
         return classes[0] if classes else 0.0
-    return LogisticRegression(maxIter=50, regParam=0.01, standardization=False).fit(here)
+    model = LogisticRegression(maxIter=50, regParam=0.01, standardization=False).fit(here)
+    # Reading it back leaves the training summary behind, which holds the session and cannot be sent to executors.
+    path = f"{shared_dir(labelled.sparkSession).rstrip('/')}/codeloom-url-model-{uuid.uuid4().hex}"
+    model.save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def judge(pages: DataFrame, labelled: DataFrame | None = None, page_id: str = "page_id", url: str = "url") -> DataFrame:
