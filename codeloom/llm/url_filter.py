@@ -82,7 +82,9 @@ def grams(host: Column, path: Column) -> Column:
 
 
 def small_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(u, 1) for u in BLOCKED_URLS] + [(u, 0) for u in ALLOWED_URLS], "url string, blocked int")
+    rows = [(u, 1) for u in BLOCKED_URLS] + [(u, 0) for u in ALLOWED_URLS]
+    made = F.explode(F.array(*[F.struct(F.lit(u).alias("url"), F.lit(b).alias("blocked")) for u, b in rows])).alias("row")
+    return spark.range(1).select(made).select("row.url", "row.blocked")
 
 
 def featured(urls: DataFrame) -> DataFrame:
