@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -16,6 +15,10 @@ BROADCAST_ROWS = 500_000
 HOT_KEY_ROWS = 1_000_000
 
 
+#: Stands in for ``spark.checkpoint.dir`` in local sessions that do not set it.
+LOCAL_FOLDER = "/tmp/checkpoints"
+
+
 def conf_int(spark: SparkSession, key: str, default: int) -> int:
     value = spark.conf.get(key, None)
     return default if value is None else int(value)
@@ -32,9 +35,9 @@ def hot_key_rows(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where the setting is absent *and* the
-    session is local (tests); on a cluster a missing setting is an error,
-    because a machine-local folder would not survive a lost executor.
+    LOCAL_FOLDER is used only where the setting is absent *and* the session is
+    local (tests, bench); on a cluster a missing setting is an error, because a
+    machine-local folder would not survive a lost executor.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,7 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="codeloom-ckpt-"))
+        sc.setCheckpointDir(LOCAL_FOLDER)
     return sc.getCheckpointDir()
 
 
