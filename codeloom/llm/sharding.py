@@ -84,36 +84,3 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
     return numbered.withColumn("_p", place("row_no")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.pmod("_p", F.lit(shards)).cast("int").alias("shard"),
         F.floor(F.col("_p") / shards).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "row_no")
-
-
-def shard_sql(shards: int = 40) -> str:
-    """The same places in DuckDB SQL over ``documents``, with cycle walking as a recursive query."""
-    steps, left, right = [], "x >> bits", "x & ((1::BIGINT << bits) - 1)"
-    steps.append(f"s0 AS (SELECT row_no, n, bits, {left} AS l, {right} AS r FROM walk_in)")
-    for i, key in enumerate(ROUND_KEYS):
-        t = f"((((r + {key}) & 2147483647) * {FACTOR}) & 2147483647)"
-        t = f"(((xor({t}, {t} >> 15) & 2147483647) * {FACTOR}) & 2147483647)"
-        steps.append(f"s{i + 1} AS (SELECT row_no, n, bits, r AS l, xor(l, ({t} >> 9) & ((1::BIGINT << bits) - 1)) AS r FROM s{i})")
-
-    def feistel(source: str) -> str:
-        inner = f"(SELECT row_no, n, bits, x >> bits AS l, x & ((1::BIGINT << bits) - 1) AS r FROM {source})"
-        for key in ROUND_KEYS:
-            t = f"((((r + {key}) & 2147483647) * {FACTOR}) & 2147483647)"
-            inner = f"(SELECT row_no, n, bits, l, r, {t} AS t FROM {inner})"
-            inner = f"(SELECT row_no, n, bits, l, r, ((xor(t, t >> 15) & 2147483647) * {FACTOR}) & 2147483647 AS t FROM {inner})"
-            inner = f"(SELECT row_no, n, bits, r AS l, xor(l, (t >> 9) & ((1::BIGINT << bits) - 1)) AS r FROM {inner})"
-        return f"(SELECT row_no, n, bits, (l << bits) | r AS x FROM {inner})"
-
-    return f"""
-WITH RECURSIVE crc_table AS (SELECT 1)
-, numbered AS (
-  SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, row_number() OVER (ORDER BY doc_id) - 1 AS row_no, count(*) OVER () AS n
-  FROM documents),
-sized AS (SELECT *, greatest(1, (length(ltrim(bin(greatest(n - 1, 1)), '0')) + 1) // 2) AS bits FROM numbered),
-walk AS (
-  SELECT row_no, n, bits, x FROM {feistel('(SELECT row_no, n, bits, row_no AS x FROM sized)')}
-  UNION ALL
-  SELECT row_no, n, bits, x FROM {feistel('(SELECT * FROM walk WHERE x >= n)')})
-SELECT s.doc_id, s.size, 'rows' AS law, CAST(w.x % {shards} AS INTEGER) AS shard, CAST(w.x // {shards} AS BIGINT) AS slot,
-       CAST(NULL AS INTEGER) AS grown_shard, s.row_no
-FROM sized s JOIN walk w ON s.row_no = w.row_no AND w.x < w.n"""
