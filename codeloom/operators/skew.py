@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.session import hot_key_rows
+from codeloom.session import broadcast_rows, cut, hot_key_rows
 
 
 def _row_hash(df: DataFrame) -> Column:
@@ -22,34 +22,45 @@ def lookup_join(
     on: list[str],
     how: str = "left",
     max_rows: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Join ``left`` to ``right``, where ``right`` has at most one row per key.
 
     Keys that hold many ``left`` rows are spread over several tasks: their rows
     get a salt from a hash of the row, and the single matching ``right`` row is
-    repeated once per salt. The table of such keys has at most
-    ``rows / hot_key_rows`` entries, so it may be broadcast. When the caller
-    knows ``left`` has fewer rows than one hot key needs, no key can be hot and
-    the plain join is used.
+    repeated once per salt. When the caller knows ``left`` has fewer rows than
+    one hot key needs, no key can be hot and the plain join is used. Otherwise
+    ``left`` is written to a table (unless it is ``stored``), so that counting
+    its keys does not compute it twice and nested calls do not double the plan.
+    The table of hot keys is counted before it is broadcast.
     """
-    hot_min = hot_key_rows(left.sparkSession)
+    spark = left.sparkSession
+    hot_min = hot_key_rows(spark)
     if max_rows is not None and max_rows < hot_min:
         return left.join(right, on, how)
-    hot = (
+    if not stored:
+        left, rows = cut(left)
+        if rows < hot_min:
+            return left.join(right, on, how)
+    hot, keys = cut(
         left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") >= hot_min)
         .select(*on, F.ceil(F.col("_n") / hot_min).cast("int").alias("_spread"))
     )
+    if keys == 0:
+        return left.join(right, on, how)
+    if keys <= broadcast_rows(spark):
+        hot = F.broadcast(hot)
     has_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
     # A row with a null key matches nothing, so any salt is right for it.
-    salted_left = left.join(F.broadcast(hot), on, "left").withColumn(
+    salted_left = left.join(hot, on, "left").withColumn(
         "_salt",
         F.when(has_null, F.pmod(_row_hash(left), F.lit(1024)).cast("int"))
         .when(F.col("_spread").isNotNull(),
               F.pmod(_row_hash(left), F.col("_spread").cast("long")).cast("int"))
         .otherwise(F.lit(0)),
     ).drop("_spread")
-    salted_right = right.join(F.broadcast(hot), on, "left").withColumn(
+    salted_right = right.join(hot, on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_spread", F.lit(1)) - 1))
     ).drop("_spread")
     return salted_left.join(salted_right, on + ["_salt"], how).drop("_salt")

@@ -36,7 +36,7 @@ def _expand(steps: DataFrame, step_rows: int | None, frontier: DataFrame, rows:
     if rows <= broadcast_rows(frontier.sparkSession):
         joined = steps.join(F.broadcast(near), "src")
     else:
-        joined = lookup_join(steps, near, ["src"], "inner", step_rows)
+        joined = lookup_join(steps, near, ["src"], "inner", step_rows, stored=True)
     return (
         joined.groupBy(F.col("dst").alias("id"))
         .agg(F.min(F.col("distance") + F.col("cost")).alias("distance"))
