@@ -1,13 +1,15 @@
-"""Graph snapshots on shared storage: one folder per version and a version log.
+"""Graph snapshots on shared storage: one folder per save and a version log.
 
-A snapshot becomes visible with its row in the log, written last. Two writers of
-one version cannot both succeed, because a version's folder is created once.
+A save writes its relations under a name of its own and becomes visible with one
+entry of the log, created last and only if no entry of that version exists yet. A
+save that dies before leaves a folder nobody reads and blocks nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.plans.sync import Index
@@ -22,36 +24,66 @@ LAYOUT = {
     "bases": ["reference_name", "ref_id"],
     "files": ["path"],
 }
+COUNT = "rows."
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, folder: str) -> dict[int, bool]:
+    """Versions in the log; False for an entry whose writer died before it wrote the name of its folder."""
+    path, fs = _path(spark, f"{folder}/log")
+    if not fs.exists(path):
+        return {}
+    return {int(s.getPath().getName()): s.getLen() > 0 for s in fs.listStatus(path) if s.getPath().getName().isdigit()}
 
 
 def current_version(spark: SparkSession, folder: str) -> int:
     """The last committed version, 0 before the first."""
-    try:
-        log = spark.read.schema("version int, committed_at long").parquet(f"{folder}/versions")
-        return log.agg(F.max("version")).first()[0] or 0
-    except AnalysisException:
-        return 0
+    return max((v for v, done in _versions(spark, folder).items() if done), default=0)
+
+
+def _publish(spark: SparkSession, folder: str, name: str) -> int:
+    """Create the next log entry. Creation fails where the entry exists, so of two writers one goes on to the next
+    version and none is lost."""
+    while True:
+        version = max(_versions(spark, folder), default=0) + 1
+        path, fs = _path(spark, f"{folder}/log/{version:08d}")
+        try:
+            out = fs.create(path, False)
+        except Exception:
+            if fs.exists(path):
+                continue
+            raise
+        out.write(bytearray(name, "utf-8"))
+        out.close()
+        return version
 
 
 def save(index: Index, folder: str) -> int:
     """Write the next version and commit it."""
     spark = index.nodes.sparkSession
-    version = current_version(spark, folder) + 1
-    base = f"{folder}/v{version:08d}"
-    meta = index.metadata.items()
-    spark.createDataFrame([(k, v) for k, v in meta] or [("", "")], "key string, value string").withColumn(
-        "updated_at", F.unix_millis(F.current_timestamp())).coalesce(1).write.mode("errorifexists").parquet(f"{base}/metadata")
-    for name, keys in LAYOUT.items():
-        df: DataFrame = getattr(index, name)
-        df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("errorifexists").parquet(f"{base}/{name}")
-    spark.range(1).select(F.lit(version).alias("version"), F.unix_millis(F.current_timestamp()).alias("committed_at")).write.mode(
-        "append").parquet(f"{folder}/versions")
-    return version
+    name = f"data-{uuid.uuid4().hex}"
+    meta = dict(index.metadata)
+    for relation, keys in LAYOUT.items():
+        df: DataFrame = getattr(index, relation)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(
+            "errorifexists").parquet(f"{folder}/{name}/{relation}")
+        rows = index.rows[relation] if index.rows else seen.get["rows"]
+        meta[COUNT + relation] = str(rows)
+    spark.createDataFrame(list(meta.items()), "key string, value string").withColumn(
+        "updated_at", F.unix_millis(F.current_timestamp())).coalesce(1).write.mode("errorifexists").parquet(f"{folder}/{name}/metadata")
+    return _publish(spark, folder, name)
 
 
 def load(spark: SparkSession, folder: str, version: int | None = None) -> Index:
+    """A saved version, the current one by default. Its relations are tables with known row counts."""
     version = version or current_version(spark, folder)
-    base = f"{folder}/v{version:08d}"
-    frames = {name: spark.read.parquet(f"{base}/{name}") for name in LAYOUT}
-    meta = {r.key: r.value for r in spark.read.parquet(f"{base}/metadata").collect() if r.key}
-    return Index(**frames, metadata=meta)
+    name = spark.read.text(f"{folder}/log/{version:08d}").first()[0]
+    frames = {relation: spark.read.parquet(f"{folder}/{name}/{relation}") for relation in LAYOUT}
+    meta = {r.key: r.value for r in spark.read.parquet(f"{folder}/{name}/metadata").collect()}
+    rows = {k.removeprefix(COUNT): int(v) for k, v in meta.items() if k.startswith(COUNT)}
+    return Index(**frames, metadata={k: v for k, v in meta.items() if not k.startswith(COUNT)}, rows=rows)

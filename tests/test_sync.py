@@ -82,6 +82,12 @@ def test_snapshot_and_queries(spark, first, tmp_path):
     assert snapshot.save(first, folder) == 1 and snapshot.save(first, folder) == 2
     index = snapshot.load(spark, folder)
     assert shape(index) == shape(first)
+    # A save that died leaves a folder, or an entry without content: neither is read, neither blocks the next save.
+    (tmp_path / "graph" / "data-dead" / "nodes").mkdir(parents=True)
+    (tmp_path / "graph" / "log" / "00000003").touch()
+    assert snapshot.current_version(spark, folder) == 2 and snapshot.save(first, folder) == 4
+    index = snapshot.load(spark, folder)
+    assert index.rows["nodes"] == index.nodes.count() and index.graph().stored
     graph = index.graph()
     assert [r.name for r in search(graph, "pay*").collect()][:1] != []
     sections = explore(graph, "PayService", index.files)
@@ -113,11 +119,13 @@ def test_stream(spark, tmp_path):
     rows = [("A", p, t, 1) for p, t in A.items()]
     spark.createDataFrame(rows, "status string, path string, text string, at long").coalesce(1).write.parquet(changes)
     follow(spark, changes, folder, str(tmp_path / "ck"), once=True).awaitTermination()
-    later = [("M", p, B[p], 2) for p in ("src/service/PayService.java",)] + [("A", "src/New.java", B["src/New.java"], 2), ("D", "src/Old.java", None, 2)]
+    huge = "class Huge { /* " + "x" * (2 * 1024 * 1024) + " */ }"
+    later = [("A", "src/Huge.java", huge, 2)] + [("M", p, B[p], 2) for p in ("src/service/PayService.java",)] + [("A", "src/New.java", B["src/New.java"], 2), ("D", "src/Old.java", None, 2)]
     spark.createDataFrame(later, "status string, path string, text string, at long").coalesce(1).write.mode("append").parquet(changes)
     follow(spark, changes, folder, str(tmp_path / "ck"), once=True).awaitTermination()
     assert snapshot.current_version(spark, folder) == 2
     assert shape(snapshot.load(spark, folder)) == shape(sy.build(frame(spark, B)))
+    assert snapshot.load(spark, folder).metadata["oversized_in_last_batch"] == "1"
 
 
 def test_git_sync(spark, tmp_path):
