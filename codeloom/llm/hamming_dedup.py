@@ -138,15 +138,18 @@ def compared(buckets: DataFrame, classes: DataFrame, labels: DataFrame, nearest:
     """Candidate pairs of classes in different components whose signatures are within the radius and whose set sizes
     allow the similarity: one row (key, bi, bj, ids, pairs) per bucket cell that has any, with the pairs packed.
 
-    A pair belongs to the first key that it shares, so it is given out once. ``nearest``: for every class and cell only
-    its nearest such partner; else all. A bucket of over BLOCK rows is split into blocks, and every pair of blocks is a
-    cell of its own, so no task gathers a bucket and no pair is a row."""
+    A pair belongs to the first key that it shares, so it is given out once. A bucket of over BLOCK rows is split into
+    blocks, and every pair of blocks is a cell of its own, so no task gathers a bucket and no pair is a row. ``nearest``:
+    a block meets only itself and the bucket's first block, and a class gives only its nearest partner there, which is
+    linear in the bucket; else all blocks meet and all pairs are given."""
     rows = buckets.join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     apart = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     rows = rows.join(apart, "key", "left_semi").join(classes.select("id", "n", "sig"), "id")
     blocks = F.ceil(F.col("n_bucket") / BLOCK).cast("int")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    every = F.sequence(F.lit(0), blocks - 1)
+    few = F.when(F.col("blk") == 0, every).otherwise(F.array(F.lit(0), F.col("blk")))
+    rows = rows.withColumn("other", F.explode(few if nearest else every))
     rows = rows.select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "id", "comp", "n", "sig")
 
     def run(batches):
@@ -255,8 +258,9 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, labels): rows(doc_id, n_shingles, fp) per document and labels(fp, component_id) per class of equal sets.
 
-    First every class meets its nearest partner in each of its buckets, which joins most of a group by few comparisons;
-    then all pairs that are still in different components and within the radius are confirmed or refused."""
+    First every class meets its nearest partner in two blocks of each of its buckets, which joins most of a group by few
+    comparisons; then all pairs that are still in different components and within the radius are confirmed or refused,
+    so what the first step leaves out is not lost."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows, classes = classes_of(docs)
     buckets = bucket_rows(classes)
