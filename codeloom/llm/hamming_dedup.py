@@ -5,7 +5,9 @@ about 1 - s, so at 0.75 they differ in 16 of 64 on average and in more than RADI
 signature is split into 16 chunks of 4 symbols: two signatures that differ in at most 31 places differ in at most one
 place of some chunk (pigeonhole: 16 * 2 > 31). Each chunk is indexed under its 4 values with one symbol left out (the
 allowed chunk errors, enumerated), so every pair within the radius meets under at least one of 64 keys.
-Candidates are confirmed exactly on their full shingle sets.
+Candidates are confirmed exactly on their full shingle sets, but for those that a parity sketch refuses: the sketch holds
+per slot whether an odd number of shingles falls there, so two sketches differ in at most as many bits as the sets differ
+in shingles. A pair whose sketches differ in more bits than the similarity allows is refused for certain.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ SYMBOLS, BITS, CHUNK, RADIUS = 64, 16, 4, 31
 WORDS = 5
 #: Least similarity in hundredths.
 LEAST = 75
+#: Slots of the parity sketch.
+SLOTS = 512
 #: Rows of a bucket that are compared at a time; larger buckets are split into pairs of blocks.
 BLOCK = 256
 
@@ -82,6 +86,19 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (mix(least) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """One bit per slot: whether an odd number of shingles falls there. The top bits of a shingle's hash are its slot."""
+    slot = (s >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(slot, minlength=SLOTS) & 1).tobytes()
+
+
+def may_link(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """False where two parity sketches prove the sets too different; ``sizes`` are the sums of the set sizes. With
+    symmetric difference d and size sum t the similarity is (t - d) / (t + d)."""
+    least = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return (100 + LEAST) * least <= (100 - LEAST) * sizes
+
+
 def keys_of(signatures: np.ndarray) -> np.ndarray:
     """n x 64 keys: chunk and left-out place in the high bits, the three symbols that stay below; injective."""
     chunks = signatures.reshape(len(signatures), -1, CHUNK).astype(np.int64)
@@ -101,7 +118,7 @@ def first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows(doc_id, n_shingles, fp), classes(id, fp, n, sig)) of ``docs(doc_id, text)``: one class per distinct
+    """(rows(doc_id, n_shingles, fp), classes(id, fp, n, sig, odd)) of ``docs(doc_id, text)``: one class per distinct
     non-empty shingle set, whose id is the smallest doc_id (a negative number from the fingerprint if all are null)."""
 
     def run(batches):
@@ -110,12 +127,14 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()),
-                pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n", "fp", "sig"])
+                pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                pa.array([parity(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n", "fp", "sig", "odd"])
 
-    rows = stored(docs.mapInArrow(run, "doc_id long, n long, fp binary, sig binary"))
-    made = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sig").alias("sig"))
+    rows = stored(docs.mapInArrow(run, "doc_id long, n long, fp binary, sig binary, odd binary"))
+    made = rows.where("fp is not null").groupBy("fp").agg(
+        F.min("doc_id").alias("doc_id"), *[F.min(c).alias(c) for c in ("n", "sig", "odd")])
     unnamed = -1 - F.shiftrightunsigned(F.xxhash64("fp"), 1)
-    return rows.drop("sig"), stored(made.select(F.coalesce("doc_id", unnamed).alias("id"), "fp", "n", "sig"))
+    return rows.drop("sig", "odd"), stored(made.select(F.coalesce("doc_id", unnamed).alias("id"), "fp", "n", "sig", "odd"))
 
 
 def bucket_rows(classes: DataFrame) -> DataFrame:
@@ -135,8 +154,8 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
 
 
 def compared(buckets: DataFrame, classes: DataFrame, labels: DataFrame, nearest: bool) -> DataFrame:
-    """Candidate pairs of classes in different components whose signatures are within the radius and whose set sizes
-    allow the similarity: one row (key, bi, bj, ids, pairs) per bucket cell that has any, with the pairs packed.
+    """Candidate pairs of classes in different components whose signatures are within the radius and whose set sizes and
+    parity sketches allow the similarity: one row (key, bi, bj, ids, pairs) per bucket cell that has any, with the pairs packed.
 
     A pair belongs to the first key that it shares, so it is given out once. A bucket of over BLOCK rows is split into
     blocks, and every pair of blocks is a cell of its own, so no task gathers a bucket and no pair is a row. ``nearest``:
@@ -144,18 +163,19 @@ def compared(buckets: DataFrame, classes: DataFrame, labels: DataFrame, nearest:
     linear in the bucket; else all blocks meet and all pairs are given."""
     rows = buckets.join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     apart = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rows = rows.join(apart, "key", "left_semi").join(classes.select("id", "n", "sig"), "id")
+    rows = rows.join(apart, "key", "left_semi").join(classes.select("id", "n", "sig", "odd"), "id")
     blocks = F.ceil(F.col("n_bucket") / BLOCK).cast("int")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     every = F.sequence(F.lit(0), blocks - 1)
     few = F.when(F.col("blk") == 0, every).otherwise(F.array(F.lit(0), F.col("blk")))
     rows = rows.withColumn("other", F.explode(few if nearest else every))
-    rows = rows.select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "id", "comp", "n", "sig")
+    rows = rows.select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "id", "comp", "n", "sig", "odd")
 
     def run(batches):
         for t in whole_groups(batches, ["key", "bi", "bj"]):
             key, bi, bj, blk, ids, comp, size = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "bi", "bj", "blk", "id", "comp", "n"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            odd = np.frombuffer(b"".join(t.column("odd").to_pylist()), np.uint64).reshape(-1, SLOTS // 64)
             same = (key[1:] == key[:-1]) & (bi[1:] == bi[:-1]) & (bj[1:] == bj[:-1])
             group = np.r_[0, np.cumsum(~same)]
             best, partner = np.full(len(ids), SYMBOLS + 1), np.full(len(ids), -1)
@@ -172,6 +192,8 @@ def compared(buckets: DataFrame, classes: DataFrame, labels: DataFrame, nearest:
                     ok = (comp[i] != comp[j]) & ((blk[i] != blk[j]) | (bi[i] == bj[i]))
                     ok &= 100 * np.minimum(size[i], size[j]) >= LEAST * np.maximum(size[i], size[j])
                     i, j = i[ok], j[ok]
+                    ok = may_link(odd[i], odd[j], size[i] + size[j])
+                    i, j = i[ok], j[ok]
                     if not len(i):
                         continue
                     a, b = sig[i], sig[j]

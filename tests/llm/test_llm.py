@@ -107,6 +107,18 @@ def test_hamming_dedup(spark, docs, nothing):
     assert len(got) == both.count() and hamming_dedup.find(nothing).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 30, 400, 20000])
+def test_parity_sketch_refuses_no_linked_pair(size):
+    rng = np.random.default_rng(size)
+    for share in np.linspace(0, 0.4, 40):
+        a = rng.integers(0, 1 << 64, size, np.uint64)
+        b = np.unique(np.r_[a[rng.random(size) >= share], rng.integers(0, 1 << 64, int(size * share), np.uint64)])
+        a = np.unique(a)
+        common, pair = len(np.intersect1d(a, b)), [np.frombuffer(hamming_dedup.parity(s), np.uint64)[None] for s in (a, b)]
+        linked = 100 * common >= 75 * (len(a) + len(b) - common)
+        assert hamming_dedup.may_link(*pair, np.array([len(a) + len(b)]))[0] or not linked
+
+
 def test_line_dedup(docs, nothing):
     got = {r.doc_id: r for r in line_dedup.dedup(docs.where("doc_id in (3, 4, 9, 10)")).collect()}
     assert [(got[d].n_lines, got[d].n_removed, got[d].n_spans) for d in (3, 4, 9, 10)] == [(0, 0, 0), (1, 0, 0), (3, 0, 0), (4, 2, 1)]
