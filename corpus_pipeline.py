@@ -30,12 +30,22 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of every group of near-duplicates. Rows with one id are one document and
-    stay or go together; rows without an id stay."""
+    """Keep one row of every group of near-duplicates: the first by id (null last), text hash and position. Rows are told
+    apart by position, so of repeated rows one stays, with or without an id, and a different text under a repeated id is a
+    row of its own. Texts without words are near only to equal ones; empty and null texts stay."""
     ship(spark)
-    found = hamming_dedup.find(spread(docs))
-    gone, n = cut(found.where("not kept").select("doc_id").distinct())
-    return docs.join(F.broadcast(gone) if n <= broadcast_rows(spark) else gone, "doc_id", "left_anti").select(*docs.columns)
+    # Stored, so that a row has one position in both reads.
+    rows, _ = cut(spread(docs).withColumn("_row", F.monotonically_increasing_id()))
+    hashed = F.unhex(F.md5(F.col("text").cast("binary")))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_row")
+    named = rows.select("doc_id", "_row", hashed.alias("_hash"), (F.coalesce(F.length("text"), F.lit(0)) == 0).alias("_empty"))
+    found = hamming_dedup.find(rows.select("_row", "text"), "_row").withColumnRenamed("doc_id", "_row")
+    alone = F.col("n_shingles") == 0  # no words: its own component, grouped by its hash
+    near = named.join(found, "_row").where("not _empty").withColumn("_place", place).select(
+        "_row", "_place", F.when(~alone, F.col("component_id")).alias("_near"), F.when(alone, F.col("_hash")).alias("_same"))
+    chosen = near.groupBy("_near", "_same").agg(F.min("_place")["_row"].alias("_row"))
+    gone, n = cut(near.select("_row").join(chosen, "_row", "left_anti"))
+    return rows.join(F.broadcast(gone) if n <= broadcast_rows(spark) else gone, "_row", "left_anti").select(*docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

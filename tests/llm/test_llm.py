@@ -270,3 +270,22 @@ def test_pipeline(spark):
     assert first.columns == docs.columns and first.count() > 0.7 * docs.count()
     packed = corpus_pipeline.run(spark, SF).collect()
     assert packed and all(0 < r.length <= 2048 for r in packed)
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    ship(spark)
+    a, b, c, d = (words(50 + i, 120) for i in range(4))
+    near_b = b.replace(b.split()[60], "changed", 1)
+    blank = "".join(np.random.default_rng(60).choice([" ", "\t"], 450))
+    rows = [(1, a), (1, a), (2, b), (3, near_b), (3, c), (None, d), (None, d), (4, blank), (4, blank), (5, ""), (5, ""), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    want = Counter([(1, a), (2, b), (3, c), (None, d), (4, blank), (5, ""), (5, ""), (6, None)])
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, SF)
+        if name != "line_dedup":
+            assert Counter((r.doc_id, r.text) for r in docs.collect()) == want, name
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    packed = corpus_pipeline.best_fit_packing(spark, docs, SF).collect()
+    assert Counter((r.doc_id, r.length) for r in packed) == Counter({(i, len(library.encode(t or "", add_special_tokens=False).ids) + 1): n for (i, t), n in want.items()})
