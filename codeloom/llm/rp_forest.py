@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +16,8 @@ from codeloom.llm.vectors import matrix, packed
 from codeloom.session import cut
 
 #: Trees; rows a leaf should hold; rows that the split points are fitted on (the bound of the sample; every row is
-#: indexed); share of the expected neighbour mass that a search covers before it stops.
-TREES, LEAF_ROWS, SAMPLE, COVER = 6, 256, 8192, 0.97
+#: indexed); share of a query's best sample rows that a search reaches before it stops, and least number of those.
+TREES, LEAF_ROWS, SAMPLE, COVER, WITNESSES = 6, 256, 8192, 0.97, 40
 #: Leaves (as a power of two) and rows that one scoring group holds.
 GROUP_LEVELS, GROUP_ROWS = 4, 8192
 
@@ -42,7 +41,8 @@ class Forest:
                 self.splits[t, node] = np.median(side) if len(own) else 0.0
                 inside[2 * node + 1], inside[2 * node + 2] = own[side < self.splits[t, node]], own[side >= self.splits[t, node]]
         self.rows, self.k = rows, k
-        self.sample, self.sample_ids = sample[:4096], ids[:4096]
+        self.sample, self.sample_ids = sample, ids
+        self.sample_leaves = self.leaves(sample).tolist() if len(sample) else []
         self.square = float((sample ** 2).sum(1).mean()) if len(sample) else 1.0
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
@@ -56,19 +56,30 @@ class Forest:
             out[:, t] = node - ((1 << self.depth) - 1)
         return out
 
-    def search(self, q: np.ndarray) -> list[list[tuple[int, int]]]:
-        """(tree, leaf) pairs to score for each query, in the order the shared queue gives them.
-
-        A wanted neighbour is taken to lie at the inner product that the k-th best of all rows should have (from the
-        scores of the sample), spread evenly otherwise; so each side of a split has a probability, and a node's priority
-        is the product on its path. The queue holds nodes of all trees; the search stops when the leaves reached should
-        hold COVER of the neighbours, trees taken as independent."""
+    def known(self, q: np.ndarray, qid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the sample rows (-inf for a query's own id) and the bound of each query: its k-th best, if any."""
+        scores = q @ self.sample.T
+        scores[qid[:, None] == self.sample_ids] = -np.inf
+        k = self.k
+        return scores, np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(q), -np.inf)
+
+    def search(self, q: np.ndarray, scores: np.ndarray) -> list[list[tuple[int, int]]]:
+        """(tree, leaf) pairs to score for each query, in the order the shared queue gives them; ``scores`` of the sample.
+
+        The search stops on what it has scored: the query's best sample rows are its witnesses, and leaves are opened
+        until COVER of them are reached. The sample is a random part of the table, so the share of witnesses reached is
+        that of all rows as near as they are, however rows are spread; the wanted neighbours are nearer still. Only the
+        order is a guess: a neighbour is taken to lie at the inner product of the sample row of its rank, spread evenly
+        otherwise, so each side of a split has a probability, and a node's priority is the product on its path. The queue
+        holds nodes of all trees; a query's own leaf in every tree comes first."""
         if not self.depth:
             return [[(0, 0)]] * len(q)
         norm = np.linalg.norm(q, axis=1)
-        scores = q @ self.sample.T
-        tail = NormalDist().inv_cdf(1 - min(0.5, self.k / max(self.rows, 2)))
-        along = np.minimum((scores.mean(1) + tail * scores.std(1)) / norm, 0.98 * math.sqrt(self.square))
+        m = min(max(WITNESSES, 2 * self.k), scores.shape[1])
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :m]
+        level = np.take_along_axis(scores, best, 1)[:, min(m, math.ceil(self.k * scores.shape[1] / self.rows)) - 1]
+        most = 0.98 * math.sqrt(self.square)
+        along = np.clip(level / norm, -most, most)
         spread = np.sqrt(np.maximum(self.square - along ** 2, 1e-9) / max(1, self.dim - 1))
         trees = len(self.planes)
         cosine = np.einsum("qd,tnd->qtn", q / norm[:, None], self.planes)
@@ -76,16 +87,24 @@ class Forest:
         right = 1 / (1 + np.exp(-np.clip(1.702 * z, -40, 40)))
         first = (1 << self.depth) - 1
         out = []
-        for p in right:
+        for p, own, witnesses, s in zip(right, self.leaves(q).tolist(), best.tolist(), scores):
             p = p.tolist()
+            witnesses = [w for w in witnesses if s[w] > -np.inf]
+            at: dict = {}
+            for w in witnesses:
+                for place in enumerate(self.sample_leaves[w]):
+                    at.setdefault(place, []).append(w)
+            found = list(enumerate(own))
+            opened = set(found)
+            reached = {w for place in found for w in at.get(place, ())}
             queue = [(-1.0, t, 0) for t in range(trees)]
-            mass, found, missed = [0.0] * trees, [], 1.0
-            while queue and missed > 1 - COVER:
+            while queue and len(reached) < COVER * len(witnesses):
                 chance, t, node = heapq.heappop(queue)
                 if node >= first:
-                    found.append((t, node - first))
-                    mass[t] = min(1.0, mass[t] - chance)
-                    missed = math.prod(1 - m for m in mass)
+                    place = (t, node - first)
+                    if place not in opened:
+                        found.append(place)
+                        reached.update(at.get(place, ()))
                 else:
                     r = p[t][node]
                     heapq.heappush(queue, (chance * (1 - r), t, 2 * node + 1))
@@ -94,14 +113,17 @@ class Forest:
         return out
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding",
+            seeded: bool = True) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by ``every``.
 
     Rows are dealt to (tree, subtree) groups, queries to the groups of the leaves they reach; a group with more than
     GROUP_ROWS rows (many copies of one vector) is split by row and its queries go to every part. Each part gives its k
     best per query, ties to the smaller id, and the best of all parts are kept. Rows below the k-th best of the sample
     cannot be among the k nearest and are not sent. Invalid vectors and null ids take no part; repeated ids are separate
-    candidates, but a query's own id is never one. An empty table gives no rows; other columns are not looked at."""
+    candidates, but a query's own id is never one. An empty table gives no rows; other columns are not looked at.
+
+    ``seeded``: the k best of the scored sample are candidates too; without, only what the forest reaches is given."""
     rows, kind = packed(vectors, vec_id, embedding)
     rows, n = cut(rows.where("id is not null"))
     spark = vectors.sparkSession
@@ -121,8 +143,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
             take = pa.array(np.repeat(np.arange(len(x)), trees))
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.tile(np.arange(trees, dtype=np.int32), len(x))), pa.array((leaf >> min(GROUP_LEVELS, shared.value.depth)).ravel().astype(np.int32)),
-                pa.array([[v] for v in leaf.ravel().tolist()], pa.list_(pa.int64())), batch.column("id").take(take), batch.column("vec").take(take)],
-                names=["tree", "part", "leaves", "id", "vec"])
+                pa.array([[v] for v in leaf.ravel().tolist()], pa.list_(pa.int64())), pa.nulls(len(take), pa.float64()), batch.column("id").take(take), batch.column("vec").take(take)],
+                names=["tree", "part", "leaves", "least", "id", "vec"])
 
     def ask(batches):
         forest = shared.value
@@ -131,7 +153,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
             for s in range(0, batch.num_rows, 256):
                 piece = batch.slice(s, 256)
                 out = {"tree": [], "part": [], "leaves": [], "at": []}
-                for i, found in enumerate(forest.search(matrix(piece.column("vec"), kind))):
+                q = matrix(piece.column("vec"), kind)
+                scores, least = forest.known(q, piece.column("id").to_numpy())
+                for i, found in enumerate(forest.search(q, scores)):
                     groups: dict = {}
                     for t, leaf in found:
                         groups.setdefault((t, leaf >> shift), []).append(leaf)
@@ -139,25 +163,24 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
                         for name, v in zip(out, (t, part, leaves, i)):
                             out[name].append(v)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(out["tree"], pa.int32()), pa.array(out["part"], pa.int32()), pa.array(out["leaves"], pa.list_(pa.int64())),
+                    pa.array(out["tree"], pa.int32()), pa.array(out["part"], pa.int32()), pa.array(out["leaves"], pa.list_(pa.int64())), pa.array(least[out["at"]]),
                     piece.column("id").take(pa.array(out["at"], pa.int64())), piece.column("vec").take(pa.array(out["at"], pa.int64()))],
-                    names=["tree", "part", "leaves", "id", "vec"])
+                    names=["tree", "part", "leaves", "least", "id", "vec"])
 
     def seeds(batches):
-        """The k best rows of the sample: candidates that every query has, and the bound for all others."""
+        """The k best rows of the sample: candidates that every query has."""
         forest = shared.value
         for batch in batches:
             q, qid = matrix(batch.column("vec"), kind), batch.column("id").to_numpy()
             for s in range(0, len(q), 256):
-                score = q[s:s + 256] @ forest.sample.T
-                score[qid[s:s + 256, None] == forest.sample_ids] = -np.inf
+                score, _ = forest.known(q[s:s + 256], qid[s:s + 256])
                 best = [np.lexsort((forest.sample_ids, -x))[:k] for x in score]
                 best = [b[x[b] > -np.inf] for b, x in zip(best, score)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.repeat(qid[s:s + 256], [len(b) for b in best])), pa.array(forest.sample_ids[np.concatenate(best)]),
                     pa.array(np.concatenate([x[b] for b, x in zip(best, score)]))], names=["query_id", "vec_id", "score"])
 
-    form = "tree int, part int, leaves array<long>, id long, vec binary"
+    form = "tree int, part int, leaves array<long>, least double, id long, vec binary"
     members = rows.mapInArrow(deal, form)
     queries = rows.where(F.col("id") % every == 0)
     asked = queries.mapInArrow(ask, form)
@@ -167,11 +190,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
 
     def scored(batches):
         group, held, ids, leaf = None, [], [], []
-        sample = shared.value.sample
 
-        def flush(q, qid, asked_leaves, m):
-            known = q @ sample.T
-            least = np.partition(known, -k - 1, axis=1)[:, -k - 1] if sample.shape[0] > k else np.full(len(q), -np.inf)
+        def flush(q, qid, asked_leaves, least, m):
             score = q @ m[0].T
             ok = (score >= least[:, None] - 1e-9) & (qid[:, None] != m[1])
             for i, wanted in enumerate(asked_leaves):
@@ -191,6 +211,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
             key = list(zip(*(batch.column(c).to_pylist() for c in ("tree", "part", "sub"))))
             kinds, rid = batch.column("kind").to_numpy(), batch.column("id").to_numpy()
             x, leaves = matrix(batch.column("vec"), kind), batch.column("leaves").to_pylist()
+            least = batch.column("least").to_numpy(zero_copy_only=False)
             s = 0
             while s < len(key):
                 e = s
@@ -203,15 +224,16 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
                 elif held:
                     if len(held) > 1 or isinstance(leaf[0], list):
                         held, ids, leaf = [np.concatenate(held)], [np.concatenate(ids)], [np.concatenate(leaf)]
-                    a, b, c = flush(x[s:e], rid[s:e], leaves[s:e], (held[0], ids[0], leaf[0]))
+                    a, b, c = flush(x[s:e], rid[s:e], leaves[s:e], least[s:e], (held[0], ids[0], leaf[0]))
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["query_id", "vec_id", "score"])
                 s = e
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = ["tree", "part", "sub", "kind", "leaves", "id", "vec"]
+    cols = ["tree", "part", "sub", "kind", "leaves", "least", "id", "vec"]
     both = members.select(*cols).unionByName(asked.select(*cols)).repartition(parts, "tree", "part", "sub")
     found = both.sortWithinPartitions("tree", "part", "sub", "kind").mapInArrow(scored, "query_id long, vec_id long, score double")
-    found = found.unionByName(queries.mapInArrow(seeds, "query_id long, vec_id long, score double"))
+    if seeded:
+        found = found.unionByName(queries.mapInArrow(seeds, "query_id long, vec_id long, score double"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(
         F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

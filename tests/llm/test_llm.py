@@ -262,6 +262,25 @@ def test_forest(spark, vectors):
     assert rp_forest.nearest(df.where("false")).count() == 0
 
 
+def test_forest_alone_reaches_neighbours_inside_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(12000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0] + rng.normal(scale=0.05, size=(4000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("f4").astype(float)
+    df = spark.createDataFrame([*enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    found = {}
+    for r in rp_forest.nearest(df, every=200, seeded=False).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    for group in (True, False):
+        recall = []
+        for q in (q for q in range(0, len(x), 200) if (q % 3 == 0) == group):
+            score = x @ x[q]
+            score[q] = -np.inf
+            recall.append(len(found[q] & set(np.argsort(-score)[:20].tolist())) / 20)
+        assert np.mean(recall) >= 0.93, (group, np.mean(recall))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
