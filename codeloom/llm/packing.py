@@ -69,35 +69,39 @@ class SegmentTree:
 def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int]]:
     """Best-fit decreasing for ``counts[length]`` pieces: (length, first rank, first sequence, offset), each entry up
     to the next rank of its length. Pieces of one length go in runs: bins that have the same capacity left and
-    neighbouring numbers are one stack entry, so the work depends on the number of lengths, not of documents."""
+    neighbouring numbers are one stack entry, so the work depends on the number of lengths, not of documents. The
+    tightest bin stays the tightest until it takes no more, so whole bins are filled first and one bin gets the rest."""
     tree, open_bins, made, new = SegmentTree(size), {}, [], 0
+
+    def leave(room: int, first: int, last: int) -> None:
+        if room and last > first:
+            open_bins.setdefault(room, []).append((first, last))
+            tree.set(room, True)
+
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
         while left:
             room = tree.tightest(length)
             if room is None:
-                first, take, offset = new, left, 0
-                new += left
-                # Further pieces of this length may fit beside the new ones: open as few bins as hold them all.
-                per_bin = size // length
-                if per_bin > 1:
-                    take = -(-left // per_bin)
-                    new = first + take
-                room = size
+                room, first = size, new
+                last = new = first + -(-left // (size // length))
             else:
                 first, last = open_bins[room].pop()
-                take = min(left, last - first)
-                if last - first > take:
-                    open_bins[room].append((first + take, last))
                 if not open_bins[room]:
                     tree.set(room, False)
-                offset = size - room
-            made.append((length, rank, first, offset))
-            if room > length:
-                open_bins.setdefault(room - length, []).append((first, first + take))
-                tree.set(room - length, True)
-            rank += take
-            left -= take
+            per_bin = room // length
+            full = min(last - first, left // per_bin)
+            for j in range(per_bin if full else 0):
+                made.append((length, rank, first, size - room + j * length))
+                rank += full
+            leave(room - per_bin * length, first, first + full)
+            left -= full * per_bin
+            first += full
+            if left and first < last:  # fewer than per_bin pieces
+                made.extend((length, rank + j, first, size - room + j * length) for j in range(left))
+                leave(room - left * length, first, first + 1)
+                left, first = 0, first + 1
+            leave(room, first, last)
     return made
 
 

@@ -186,6 +186,27 @@ def test_packing_plan_is_best_fit_decreasing():
             (made[i + 1][1] if i + 1 < len(made) and made[i + 1][0] == e[0] else counts[e[0]]) - e[1] for i, e in enumerate(made)])) == len(bins)
 
 
+def test_packing_plan_fills_whole_bins_first():
+    made = packing.plan({4: 4, 3: 2, 2: 1}, 12)
+    assert {first for _, _, first, _ in made} == {0, 1}
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        counts = Counter(rng.integers(1, 13, rng.integers(1, 120)).tolist())
+        bins: list[int] = []
+        for n in sorted(counts.elements(), reverse=True):
+            room = min((x for x in bins if x >= n), default=None)
+            bins.append((40 if room is None else room) - n)
+            if room is not None:
+                bins.remove(room)
+        fill: dict = {}
+        made = packing.plan(dict(counts), 40)
+        for e, after in zip(made, [*made[1:], None]):
+            for r in range((after[1] if after and after[0] == e[0] else counts[e[0]]) - e[1]):
+                fill.setdefault(e[2] + r, []).append((e[3], e[0]))
+        assert sorted(40 - sum(n for _, n in b) for b in fill.values()) == sorted(bins)
+        assert all(o == sum(n for x, n in b if x < o) for b in fill.values() for o, _ in b)
+
+
 def test_sharding(spark, docs, nothing):
     got = sharding.shard(docs, 4).collect()
     counts = Counter(r.shard for r in got)
