@@ -97,14 +97,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def vectors(batches):
         for batch in pieces(batches, "text"):
-            x = features(*flat(batch.column("text"))).astype(np.uint16)
+            x = features(*flat(batch.column("text"))).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([r.tobytes() for r in x], pa.binary())],
                                              names=["doc_id", "quality", "counts"])
 
     got = sample.select("doc_id", "quality", "text").mapInArrow(vectors, "doc_id long, quality int, counts binary")
     # A repeated document id gives one vector.
     got = sorted(got.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("counts").alias("counts")).collect())
-    counts = np.array([np.frombuffer(r.counts, np.uint16) for r in got], np.float32).reshape(-1, FEATURES)
+    counts = np.array([np.frombuffer(r.counts, np.uint32) for r in got], np.float32).reshape(-1, FEATURES)
     return Model(idf, counts, np.array([r.quality for r in got]))
 
 

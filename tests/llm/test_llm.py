@@ -245,6 +245,15 @@ def test_quality(spark, docs, nothing):
     assert quality.classify(nothing, labels).count() == 0
 
 
+def test_quality_votes_with_true_counts_of_a_long_text(spark):
+    ship(spark)
+    long = "a" * 65540 + words(40, 30)  # one trigram 65,538 times
+    df = spark.createDataFrame([(i, long if i == 0 else words(i, 30), i % 2) for i in range(60)], "doc_id long, text string, quality int")
+    model = quality.fit(df, df)
+    own = model.project(quality.features(np.frombuffer(long.encode(), np.uint8), np.array([0, len(long)])))
+    assert np.isclose(own @ model.known.T, 1, atol=1e-5).any()
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(2)
