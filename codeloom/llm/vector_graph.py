@@ -1,11 +1,13 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
 Equal vectors are one class. Classes are dealt to overlapping cluster shards (the two nearest of centroids fitted on a
-bounded sample; a large cluster is split by row). Each shard builds a flat graph by robust pruning; the adjacency lists
-of a class from its shards are united. Every class is then searched in its nearest shards: a greedy beam search starts
-from the shard's medoid (and from the class itself where the shard holds it) and, once it meets vectors in range,
-expands through all of them. Links are verified in double precision on the original vectors. Only counts per class and
-a spanning forest of the links leave a task, never all pairs of a group. ``audit`` counts links by brute force.
+bounded sample; a large cluster is split by row). Each shard builds a flat graph by robust pruning and keeps every edge
+in both directions, so each node can be reached; the adjacency lists of a class from its shards are united. Every class
+is then searched in its nearest shards and in all whose centroid is in range: a greedy beam search starts from the
+shard's medoid (and from the class itself where the shard holds it) and, once it meets vectors in range, expands through
+all of them. Links are verified in double precision on the original vectors. A link counts for both ends: where the other
+end does not search the shards of this one, it is counted for it here. Only counts per class and a spanning forest of
+the links leave a task, never all pairs of a group. ``audit`` counts links by brute force.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from codeloom.session import cut
 
 #: Least cosine of a link; cosine from which the range phase walks on.
 LEAST, WALK = 0.9, 0.85
-#: Rows a shard should hold, shards a row is built into and searched in, sample for the centroids and their largest number.
+#: Rows a shard should hold, shards a row is built into and at least searched in, sample for the centroids and their largest number.
 SHARD_ROWS, OVERLAP, PROBES, SAMPLE, MOST_CLUSTERS = 3072, 2, 4, 8192, 1024
 #: Graph: candidates by nearness and at random, out-degree, slack of the pruning; beam of the greedy phase.
 NEAR, RANDOM, DEGREE, SLACK, BEAM = 40, 8, 24, 1.2, 24
@@ -65,11 +67,12 @@ def prune(cand: np.ndarray, near: np.ndarray, sims: np.ndarray, degree: int) ->
     return out
 
 
-def build(x: np.ndarray, seed: int) -> np.ndarray:
-    """Adjacency (n x DEGREE, -1 for none) of one shard's unit vectors; the shard's size bounds the similarities held."""
+def build(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(borders, neighbours): adjacency of one shard's unit vectors, those of node i from borders[i] to borders[i + 1]. Each
+    node keeps DEGREE edges at most, and every edge is kept in both directions; the shard's size bounds the similarities held."""
     n = len(x)
     if n < 2:
-        return np.full((n, DEGREE), -1, np.int32)
+        return np.zeros(n + 1, np.int64), np.zeros(0, np.int64)
     f = x.astype(np.float32)
     sims = f @ f.T
     np.fill_diagonal(sims, -2)
@@ -86,26 +89,39 @@ def build(x: np.ndarray, seed: int) -> np.ndarray:
         again[:, 1:] = cand[:, 1:] == cand[:, :-1]
         return np.where((near > -2) & ~again, cand, -1), near
 
-    one_way = prune(*ordered(cand), sims, DEGREE)
-    src, dst = np.repeat(np.arange(n), DEGREE), one_way.ravel()
-    src, dst = src[dst >= 0], dst[dst >= 0]
-    a, b = np.r_[src, dst], np.r_[dst, src]
-    pair = np.unique(a.astype(np.int64) * n + b)
-    a, b = pair // n, pair % n
+    def two_way(near):
+        src, dst = np.repeat(np.arange(n), DEGREE), near.ravel()
+        src, dst = src[dst >= 0], dst[dst >= 0]
+        pair = np.unique(np.r_[src, dst].astype(np.int64) * n + np.r_[dst, src])
+        return pair // n, pair % n
+
+    a, b = two_way(prune(*ordered(cand), sims, DEGREE))
     order = np.lexsort((-sims[a, b], a))
     a, b = a[order], b[order]
     place = np.arange(len(a)) - np.searchsorted(a, a)
     both = np.full((n, min(int(place.max()) + 1, 4 * DEGREE) if len(a) else 1), -1, np.int64)
     ok = place < both.shape[1]
     both[a[ok], place[ok]] = b[ok]
-    return prune(*ordered(both), sims, DEGREE)
+    a, b = two_way(prune(*ordered(both), sims, DEGREE))
+    return np.searchsorted(a, np.arange(n + 1)), b
+
+
+def table_of(lists: list[list]) -> np.ndarray:
+    """Lists of cluster numbers as one table, -1 for none."""
+    out = np.full((len(lists), max(map(len, lists), default=0)), -1, np.int64)
+    for row, v in zip(out, lists):
+        row[:len(v)] = v
+    return out
 
 
 class Shard:
-    """One shard while it is searched: ids, unit vectors, copies, places of both shards, adjacency within the shard."""
+    """One shard while it is searched: ids, unit vectors, copies, probed clusters, adjacency within the shard."""
 
-    def __init__(self, me: tuple, ids, vec, copies, homes, lists):
-        self.me, self.ids, self.x, self.copies, self.homes = me, ids, vec, copies, homes
+    def __init__(self, me: tuple, ids, vec, copies, probes, lists):
+        self.me, self.ids, self.x, self.copies, self.probes = me, ids, vec, copies, table_of(probes)
+        self.homes = np.array([(v + v)[:2] for v in probes])
+        #: Links of members to queries that the member's own search does not ask for.
+        self.owed = np.zeros(len(ids), np.int64)
         self.f = vec.astype(np.float32)
         order = np.argsort(ids)
         ranked = ids[order]
@@ -114,9 +130,7 @@ class Shard:
         at = np.minimum(np.searchsorted(ranked, flat), len(ids) - 1)
         here = ranked[at] == flat
         owner, to = owner[here], order[at[here]]
-        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-        self.near = np.full((len(ids), int(place.max()) + 1 if len(place) else 1), -1, np.int64)
-        self.near[owner, place] = to
+        self.borders, self.to = np.searchsorted(owner, np.arange(len(ids) + 1)), to
         self.order, self.ranked = order, ranked
         self.medoid = int((self.x @ self.x.mean(0)).argmax())
         self.root = np.arange(len(ids))
@@ -125,14 +139,21 @@ class Shard:
         at = np.minimum(np.searchsorted(self.ranked, qid), len(self.ids) - 1)
         return np.where(self.ranked[at] == qid, self.order[at], -1)
 
+    def edges(self, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``r`` repeated for, and beside it, the neighbours of the nodes ``c``."""
+        many = self.borders[c + 1] - self.borders[c]
+        at = np.repeat(self.borders[c] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return np.repeat(r, many), self.to[at]
+
     def find(self, i: int) -> int:
         while self.root[i] != i:
             self.root[i] = self.root[self.root[i]]
             i = int(self.root[i])
         return i
 
-    def search(self, qid: np.ndarray, q: np.ndarray, probes: list[list]) -> tuple:
-        """(links counted here, one linked id or -1) per query; joins linked nodes in the shard's forest."""
+    def search(self, qid: np.ndarray, q: np.ndarray, copies: np.ndarray, probes: list[list]) -> tuple:
+        """(links counted here, one linked id or -1) per query; joins linked nodes in the shard's forest. Links that the
+        other end does not ask for are added to its ``owed``."""
         m, n = len(q), len(self.ids)
         f = q.astype(np.float32)
         seen = np.zeros((m, n), bool)
@@ -164,7 +185,7 @@ class Shard:
                 break
             r, c = rows[live], beam[rows, pick][live]
             done[r, c] = True
-            visit(np.repeat(r, self.near.shape[1]), self.near[c].ravel())
+            visit(*self.edges(r, c))
         r, c = np.nonzero(score >= WALK)
         while len(r):  # range: expand through everything near enough
             todo = ~done[r, c]
@@ -172,7 +193,7 @@ class Shard:
             done[r, c] = True
             found_r, found_c = [], []
             for s in range(0, len(r), 1 << 15):
-                a, b = visit(np.repeat(r[s:s + (1 << 15)], self.near.shape[1]), self.near[c[s:s + (1 << 15)]].ravel())
+                a, b = visit(*self.edges(r[s:s + (1 << 15)], c[s:s + (1 << 15)]))
                 found_r.append(a), found_c.append(b)
             r, c = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (found_r, found_c))
             close = score[r, c] >= WALK
@@ -187,11 +208,17 @@ class Shard:
         count = np.zeros(m, np.int64)
         if len(r):
             other = np.where(self.homes[c, 0] == self.me[0], self.homes[c, 1], self.homes[c, 0])
-            before = np.zeros((m, int(self.homes.max()) + 2), bool)
+            before = np.zeros((m, max(int(self.homes.max()), max(map(max, probes))) + 2), bool)
             for i, list_ in enumerate(probes):
                 before[i, list_[:list_.index(self.me[0])]] = True
             counted = ~before[r, other]
             np.add.at(count, r[counted], self.copies[c[counted]])
+            r1, c1 = r[counted], c[counted]
+            near = np.array([(v + v)[:2] for v in probes])
+            asks = np.zeros(len(r1), bool)
+            for j in range(self.probes.shape[1]):
+                asks |= (self.probes[c1, j, None] == near[r1]).any(1)
+            np.add.at(self.owed, c1[~asks], copies[r1[~asks]])
         first = np.full(m, -1, np.int64)
         if len(r):
             head = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
@@ -247,8 +274,11 @@ def link(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
             x = unit(matrix(batch.column("vec"), kind))
             if not len(x):
                 continue
-            order = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :PROBES]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(order.tolist(), pa.list_(pa.int32()))], names=["id", "vec", "n", "probes"])
+            cosine = x @ shared.value.T
+            order = np.argsort(-cosine, axis=1, kind="stable")
+            many = np.maximum((cosine >= WALK).sum(1), min(PROBES, order.shape[1]))
+            probes = [v[:m].tolist() for v, m in zip(order, many)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(probes, pa.list_(pa.int32()))], names=["id", "vec", "n", "probes"])
 
     routed = stored(classes.select("id", "vec", "n").mapInArrow(route, "id long, vec binary, n long, probes array<int>"))
     placed = routed.withColumn("c", F.explode(F.slice("probes", 1, OVERLAP)))
@@ -262,13 +292,13 @@ def link(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
             if asked is None:
                 t = pa.Table.from_batches(held)
                 ids = t.column("id").to_numpy()
-                near = build(unit(matrix(t.column("vec"), kind)), me[0] * 65537 + me[1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([ids[v[v >= 0]] for v in near], pa.list_(pa.int64()))], names=["id", "near"])
+                borders, near = build(unit(matrix(t.column("vec"), kind)), me[0] * 65537 + me[1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(ids[near], pa.int64()))], names=["id", "near"])
 
     lists = dealt.mapInArrow(graphs, "id long, near array<long>")
     united = stored(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))  # from OVERLAP shards
     none = F.lit(None)
-    nodes = members.join(united, "id").select("c", "sub", F.lit(0).alias("kind"), "id", "vec", "n", F.slice("probes", 1, OVERLAP).alias("probes"), "near")
+    nodes = members.join(united, "id").select("c", "sub", F.lit(0).alias("kind"), "id", "vec", "n", "probes", "near")
     asked = routed.withColumn("c", F.explode("probes")).join(F.broadcast(sizes), "c").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
     asked = asked.select("c", "sub", F.lit(1).alias("kind"), "id", "vec", "n", "probes", none.cast("array<long>").alias("near"))
 
@@ -279,19 +309,19 @@ def link(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
                 if not held:
                     continue
                 t = pa.Table.from_batches(held)
-                homes = np.array([(v + v)[:2] for v in t.column("probes").to_pylist()])
-                at = Shard(me, t.column("id").to_numpy(), unit(matrix(t.column("vec"), kind)), t.column("n").to_numpy(), homes,
+                at = Shard(me, t.column("id").to_numpy(), unit(matrix(t.column("vec"), kind)), t.column("n").to_numpy(), t.column("probes").to_pylist(),
                            [np.asarray(v, np.int64) for v in t.column("near").to_pylist()])
             if q is None:
                 for i in range(len(at.ids)):
                     at.root[i] = at.find(i)
-                i = np.flatnonzero(at.root != np.arange(len(at.ids)))
-                yield pa.RecordBatch.from_arrays([pa.array(at.ids[i]), pa.array(np.zeros(len(i), np.int64)), pa.array(at.ids[at.root[i]])], names=["id", "n_links", "to"])
+                moved = at.root != np.arange(len(at.ids))
+                i = np.flatnonzero(moved | (at.owed > 0))
+                yield pa.RecordBatch.from_arrays([pa.array(at.ids[i]), pa.array(at.owed[i]), pa.array(at.ids[at.root[i]], mask=~moved[i])], names=["id", "n_links", "to"])
                 continue
             for s in range(0, q.num_rows, 256):
                 piece = q.slice(s, 256)
                 qid = piece.column("id").to_numpy()
-                count, to = at.search(qid, unit(matrix(piece.column("vec"), kind)), piece.column("probes").to_pylist())
+                count, to = at.search(qid, unit(matrix(piece.column("vec"), kind)), piece.column("n").to_numpy(), piece.column("probes").to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(count), pa.array(to, pa.int64(), mask=to == -1)], names=["id", "n_links", "to"])
 
     both = nodes.unionByName(asked).repartition(parts, "c", "sub").sortWithinPartitions("c", "sub", "kind", "id")

@@ -278,6 +278,22 @@ def test_vector_graph(spark, vectors):
     assert vector_graph.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("rows", [3072, 256])  # one group in few shards, and dealt to many
+def test_vector_graph_counts_all_links_of_a_group_of_near_copies(spark, monkeypatch, rows):
+    monkeypatch.setattr(vector_graph, "SHARD_ROWS", rows)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:700] = x[0] + rng.normal(scale=0.031, size=(700, 64))
+    x = x.astype("f4").astype(float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    df = spark.createDataFrame([*enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in vector_graph.near_duplicates(df).collect()}
+    assert [got[i].n_links for i in range(len(x))] == want.tolist()
+    assert {got[i].component_id for i in range(700)} == {0}
+
+
 def test_forest(spark, vectors):
     x, df = vectors
     got = rp_forest.nearest(df, k=5).collect()
