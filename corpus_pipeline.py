@@ -68,7 +68,8 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Near-duplicates, voting and packing are not expressible in SQL; tests hold the stages against brute force.
+#: Near-duplicates, voting and packing are not expressible in SQL; a test holds the rows of each later stage against brute
+#: force on a small fixture, and those of the first against op3's scores.
 ORACLE_SQL = None
 
 

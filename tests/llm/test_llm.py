@@ -354,3 +354,68 @@ def test_pipeline_keeps_one_of_repeated_rows(spark):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     packed = corpus_pipeline.best_fit_packing(spark, docs, SF).collect()
     assert Counter((r.doc_id, r.length) for r in packed) == Counter({(i, len(library.encode(t or "", add_special_tokens=False).ids) + 1): n for (i, t), n in want.items()})
+
+
+def brute_stages(rows):
+    """Rows (id, text) after each of line_dedup, near_dedup and suffix_array_dedup, by plain loops."""
+    def place(i, t):
+        return i is None, i or 0, hashlib.md5((t or "").encode()).digest()
+
+    gone, seen, lines = {}, set(), []
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(f"{'none' if r[0] is None else r[0]}\n{r[1] or ''}".encode()).digest())):
+        split, out = (t.split("\n") if t is not None else []), set()
+        for k in range(len(split) - 1):
+            pair = (split[k], split[k + 1])
+            out |= {k, k + 1} if pair in seen else set()
+            seen.add(pair)
+        gone[i, t] = "\n".join(x for k, x in enumerate(split) if k not in out) if out else t
+    lines = [(i, gone[i, t]) for i, t in rows if gone[i, t] or not t]
+    sets = [brute_shingles(t) for _, t in lines]
+    label = list(range(len(lines)))
+    for _ in lines:
+        for a in range(len(lines)):
+            for b in range(len(lines)):
+                same = 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) if sets[a] and sets[b] else lines[a][1] and lines[a][1] == lines[b][1]
+                if same:
+                    label[a] = label[b] = min(label[a], label[b])
+    near = [min((r for r, c in zip(lines, label) if c == group), key=lambda r: place(*r)) for group in sorted(set(label))]
+    raw = [(t or "").encode() for _, t in near]
+    count = Counter(r[k:k + 400] for r in raw for k in range(len(r) - 399))
+    cut = []
+    for (i, t), r in zip(near, raw):
+        out = {k + d for k in range(len(r) - 399) if count[r[k:k + 400]] > 1 for d in range(400)}
+        cut.append((i, bytes(x for k, x in enumerate(r) if k not in out).decode("utf-8", "ignore") if out else t))
+    return lines, near, cut
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    import corpus_pipeline
+
+    ship(spark)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = quality.classify(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("score >= 0.5").select("doc_id")
+    assert Counter(r.doc_id for r in corpus_pipeline.quality_filter(spark, docs, SF).collect()) == Counter(r.doc_id for r in want.collect())
+
+    a, b, c, d, e = (words(70 + i, 150) for i in range(5))
+    shared, pair = words(80, 130), "a line of its own\nand the next one"
+    rows = [(1, a), (1, a), (2, a.replace(" ", "  ", 3)), (3, b), (3, c), (4, b.replace(b.split()[70], "new", 1)), (None, d), (None, d), (None, None), (None, None),
+            (5, f"{e} {shared} {words(81, 100)}"), (6, f"{words(82, 120)} {shared}"), (7, pair), (8, pair), (9, f"{words(83, 40)}\n{pair}\n{words(84, 40)}"),
+            (10, ""), (11, None), (11, None), (12, "é" * 450), (13, words(85, 60) + "\nlone line"), (14, words(86, 60) + "\nlone line")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    for (name, stage), want in zip(corpus_pipeline.STAGES[1:4], brute_stages(rows)):
+        docs = stage(spark, docs, SF).localCheckpoint()
+        assert Counter((r.doc_id, r.text) for r in docs.collect()) == Counter(want), name
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    packed = corpus_pipeline.best_fit_packing(spark, docs, SF).collect()
+    lengths = Counter((i, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in want)
+    assert Counter((r.doc_id, r.length) for r in packed) == lengths
+    room: list[int] = []
+    for n in sorted((n for _, n in lengths.elements()), reverse=True):
+        fit = min((x for x in room if x >= n), default=None)
+        room.append((2048 if fit is None else fit) - n)
+        if fit is not None:
+            room.remove(fit)
+    used = Counter()
+    for r in packed:
+        used[r.sequence_id] += r.length
+    assert sorted(2048 - n for n in used.values()) == sorted(room)
