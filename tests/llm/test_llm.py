@@ -327,6 +327,20 @@ def test_forest_alone_reaches_neighbours_inside_a_large_group_of_near_copies(spa
         assert np.mean(recall) >= 0.93, (group, np.mean(recall))
 
 
+@pytest.mark.parametrize("n", [500, 2000, 4096])
+def test_forest_alone_on_tables_no_larger_than_the_sample(n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    forest = rp_forest.Forest(x, np.arange(n), n, 20)
+    leaf, asked = forest.leaves(x), np.arange(40)
+    hits = 0
+    for q, found in zip(asked, forest.search(x[asked], forest.known(x[asked], asked)[0])):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += sum(any(leaf[i, t] == f for t, f in found) for i in np.argsort(-score)[:20])
+    assert hits / 20 / len(asked) >= 0.93
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
