@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import functions as F
 
-from codeloom.llm import bpe_trie, hamming_dedup, line_dedup, packing, quality, rp_forest, sharding, suffix_dedup, url_filter, vector_graph
+from codeloom.llm import (
+    bpe_trie, conversation_trie, decontaminate, hamming_dedup, line_dedup, packing, quality, rp_forest, sharding, suffix_dedup, token_alignment,
+    url_filter, vector_graph,
+)
 from codeloom.llm.base import table
 
 
@@ -49,6 +51,19 @@ def op10(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12(spark, sf_dir):
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.digests(table(spark, sf_dir, "documents"), *paths)
+
+
+def op13(spark, sf_dir):
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_vector_graph": (op1, None),
     "op2_rp_forest": (op2, None),
@@ -60,6 +75,9 @@ QUERIES = {
     "op8_hamming_minhash": (op8, None),
     "op9_url_filter": (op9, None),
     "op10_best_fit_packing": (op10, None),
+    "op11_suffix_automaton": (op11, None),
+    "op12_perfect_hash_alignment": (op12, None),
+    "op13_prefix_trie": (op13, None),
 }
 
 
