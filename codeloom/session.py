@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -61,10 +63,42 @@ def cut(df: DataFrame) -> tuple[DataFrame, int]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codeloom-{uuid.uuid4().hex}"
     seen = Observation()
+    if _open:
+        _open[-1].append(path)
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``cut`` writes inside the block are deleted at its end, but for those handed to the function it gives.
+    What leaves the block must be such a table, or read none that was written in it."""
+    mine: list[str] = []
+    kept: list[str] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.extend(f.rsplit("/", 1)[0] for f in table.inputFiles())
+        return table
+
+    _open.append(mine)
+    try:
+        yield keep
+    finally:
+        _open.pop()
+    stay = {k.rsplit("/", 1)[-1] for k in kept}
+    sc = spark.sparkContext
+    for path in mine:
+        if path.rsplit("/", 1)[-1] in stay:
+            if _open:
+                _open[-1].append(path)
+            continue
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give per-row heavy work on a table scan at least one task per core.
 

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import hamming_dedup, line_dedup, packing, quality, suffix_dedup
 from codeloom.llm.base import ship
-from codeloom.session import broadcast_rows, cut, spread
+from codeloom.session import broadcast_rows, cut, scratch, spread
+
+#: Bytes from which a repeated passage is cut: less than fifty words of any of the languages take.
+PASSAGE = 200
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,6 +39,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     # Stored, so that a row has one position in both reads.
     rows, _ = cut(spread(docs).withColumn("_row", F.monotonically_increasing_id()))
+    with scratch(spark) as keep:
+        gone, n = _near_copies(rows)
+        keep(gone)
+    return rows.join(F.broadcast(gone) if n <= broadcast_rows(spark) else gone, "_row", "left_anti").select(*docs.columns)
+
+
+def _near_copies(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The ``_row`` of every row that goes, and their number."""
     hashed = F.unhex(F.md5(F.col("text").cast("binary")))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_row")
     named = rows.select("doc_id", "_row", hashed.alias("_hash"), (F.coalesce(F.length("text"), F.lit(0)) == 0).alias("_empty"))
@@ -44,14 +55,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     near = named.join(found, "_row").where("not _empty").withColumn("_place", place).select(
         "_row", "_place", F.when(~alone, F.col("component_id")).alias("_near"), F.when(alone, F.col("_hash")).alias("_same"))
     chosen = near.groupBy("_near", "_same").agg(F.min("_place")["_row"].alias("_row"))
-    gone, n = cut(near.select("_row").join(chosen, "_row", "left_anti"))
-    return rows.join(F.broadcast(gone) if n <= broadcast_rows(spark) else gone, "_row", "left_anti").select(*docs.columns)
+    return cut(near.select("_row").join(chosen, "_row", "left_anti"))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut every byte string of 400 bytes or more that also stands elsewhere."""
+    """Cut every byte string of PASSAGE bytes or more that stands elsewhere before; its first occurrence stays."""
     ship(spark)
-    return suffix_dedup.cleaned(spread(docs))
+    return suffix_dedup.cleaned(spread(docs), length=PASSAGE, keep_first=True)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
