@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from codeloom.llm.base import byte_letters, pieces, vocabulary
 from codeloom.session import cut
 
+#: Longer texts are left to the tokenizer library: a long run of white space exceeds the stack of the other's patterns.
+LONG_TEXT = 100_000
+
 _encoders: dict = {}
 
 
@@ -31,6 +34,19 @@ def encoder(path: str):
     return _encoders[path]
 
 
+def encode(text: str, path: str) -> np.ndarray:
+    """Ids of a text, with special tokens recognised and none added."""
+    if len(text) <= LONG_TEXT:
+        return encoder(path).encode_to_numpy(text, allowed_special="all")
+    if (path, "long") not in _encoders:
+        from tokenizers import Tokenizer
+
+        _encoders[path, "long"] = whole = Tokenizer.from_file(path)
+        whole.no_truncation()
+        whole.no_padding()
+    return np.array(_encoders[path, "long"].encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def cut_lengths(n: int, size: int) -> list[int]:
     """Lengths of a document's pieces: only a document longer than ``size`` is cut, and then the first piece takes
     what is left over."""
@@ -115,9 +131,8 @@ def pieces_of(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
         task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in pieces(batches, "text"):
             rows = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "local_rank")}
-            enc = encoder(path)
             for doc, text in zip(batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text"), "").to_pylist()):
-                ids = np.append(enc.encode_to_numpy(text, allowed_special="all"), end_id).astype("<u4")
+                ids = np.append(encode(text, path), end_id).astype("<u4")
                 start = 0
                 for k, n in enumerate(cut_lengths(len(ids), size)):
                     for name, v in zip(rows, (doc, k, start, n, zlib.crc32(ids[start:start + n].tobytes()), seen[n])):

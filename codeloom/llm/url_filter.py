@@ -51,14 +51,19 @@ https://open.example.com/source/readme https://data.example.org/sets/3 https://w
 """.split()
 
 
+def _after_scheme(url: Column) -> Column:
+    """What follows the first ``://``; empty where there is none. By position: a pattern would recurse on a long text."""
+    at = F.locate("://", url)
+    return F.when(at > 0, F.substring(url, at + 3, F.char_length(url))).otherwise(F.lit(""))
+
+
 def host_of(url: Column) -> Column:
     """Between the first ``://`` and ``/``, ``?``, ``#`` or the end, A-Z in lower case; empty where there is none."""
-    raw = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(?:(?!://).)*://([^/?#]*)", 1)
-    return F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.regexp_extract(_after_scheme(url), r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(?:(?!://).)*://[^/?#]*([^?#]*)", 1)
+    return F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1)
 
 
 def by_rule(host: Column, path: Column) -> Column:
@@ -72,13 +77,17 @@ def by_rule(host: Column, path: Column) -> Column:
 
 def grams(host: Column, path: Column) -> Column:
     """Distinct character n-grams of the marked host and path (``h^host$`` and ``p^path$``)."""
-    def of(text: Column, n: int, mark: str) -> Column:
-        count = F.char_length(text) - (n - 1)
-        at = F.when(count >= 1, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.concat(F.lit(mark), text.substr(i, F.lit(n))))
+    def of(text: Column, mark: str) -> list[Column]:
+        letters, made, out = F.split(text, ""), F.split(text, ""), []
+        for n in range(2, max(GRAMS) + 1):  # each length from the one before: linear in the text
+            count = F.greatest(F.size(letters) - (n - 1), F.lit(0))
+            made = F.zip_with(F.slice(made, F.lit(1), count), F.slice(letters, F.lit(n), count), lambda a, b: F.concat(a, b))
+            if n in GRAMS:
+                out.append(F.transform(made, lambda g: F.concat(F.lit(mark), g)))
+        return out
 
     h, p = F.concat(F.lit("^"), host, F.lit("$")), F.concat(F.lit("^"), path, F.lit("$"))
-    return F.array_distinct(reduce(F.concat, [of(h, n, "h") for n in GRAMS] + [of(p, n, "p") for n in GRAMS]))
+    return F.array_distinct(reduce(F.concat, of(h, "h") + of(p, "p")))
 
 
 def small_table(spark: SparkSession) -> DataFrame:
