@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as tx
-from codeloom.plans import search
+from codeloom.plans import search, search_index
 from codeloom.session import spread
 from codeloom.sources.tables import order_graph, table
 from registry.graph_queries import NODES_SQL
@@ -110,6 +113,20 @@ def _search_tiered(s, d):
     return out
 
 
+def _search_stored(s, d):
+    """The same searches from the stored index."""
+    g = order_graph(s, d)
+    index = search_index.build(g.nodes)
+    return reduce(DataFrame.unionByName, [
+        search_index.search(g, index, q, 50).select(F.lit(q).alias("query"), "id", F.round("score", 6).alias("score")) for q in TIERED])
+
+
+def _search_stored_phrase(s, d):
+    nodes = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("document").alias("kind"), F.col("text").alias("name"))
+    hits = search_index.ranked(search_index.build(nodes), '"que les" OR "sch leau"* ment')
+    return hits.select(F.col("id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 NODE_TEXT = f"{tok_sql('name')} || {tok_sql('qualified_name')}"
 
 
@@ -200,6 +217,9 @@ QUERIES = {
     "search_like": (_search_like, f"""WITH {NODES_SQL} SELECT id, name, 0.3::DOUBLE AS score FROM nodes
  WHERE contains(lower(name),'ring') OR contains(lower(qualified_name),'ring')"""),
     "search_tiered": (_search_tiered, SEARCH_TIERED_SQL),
+    "search_stored": (_search_stored, SEARCH_TIERED_SQL),
+    "search_stored_phrase": (_search_stored_phrase, bm25_sql("documents", "doc_id", "text", {
+        "a": "t='que' AND ws[i+1]='les'", "b": "t='sch' AND starts_with(ws[i+1],'leau')", "c": "t='ment'"}, "a>0 OR (b>0 AND c>0)")),
     "source_block": (_source_block, """SELECT doc_id, array_to_string(string_split(text, chr(10))[(doc_id%5+1):(doc_id%5 + least(doc_id%7, 3))], chr(10)) AS block FROM documents"""),
     "strip_comments": (_strip, r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
  '(?s)/\*.*?\*/', ' ', 'g'), '//[^\n]*', ' ', 'g'), '"(?:\\.|[^"\\])*"', '""', 'g'), '''(?:\\.|[^''\\])*''', '''''', 'g') AS plain FROM pages"""),
