@@ -4,9 +4,10 @@ A link joins the A token and the B token that end at the same byte. One of the t
 is fixed by the longer token and the length of the shorter one: the two vocabularies alone bound the number of distinct
 pairs (``pair_bound``), whatever the corpus. Everything held whole or broadcast here is under that bound.
 
-First pass: tasks align their documents and write partial counts per pair. The distinct pairs get a minimal perfect
-hash; partial counts become dense vectors indexed by it, which are summed in a tree. Second pass: documents are aligned
-again and every link looks its count up; the stored key of each place is compared, so no foreign pair gets a count.
+Texts are encoded once and their ids stored in the shared folder (two bytes an id: about as large as the texts). First
+pass: tasks align the documents and write partial counts per pair. The distinct pairs get a minimal perfect hash; partial
+counts become dense vectors indexed by it, which are summed in a tree. Second pass: documents are aligned again and every
+link looks its count up; the stored key of each place is compared, so no foreign pair gets a count.
 """
 
 from __future__ import annotations
@@ -54,9 +55,10 @@ class Tokenizers:
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.size_a, self.size_b = (np.array([*map(len, x)], np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.kind = np.dtype("<u2" if max(len(self.bytes_a), len(self.bytes_b)) <= 1 << 16 else "<u4")
         # Ids as text with what may follow them: another one of the group, or the end of the side or group.
-        self.text_a = [np.array([f"{i}{end}" for i in range(len(self.bytes_a))], object) for end in ",|"]
-        self.text_b = [np.array([f"{i}{end}" for i in range(len(self.bytes_b))], object) for end in ",;"]
+        self.text_a = np.array([f"{i}{end}" for end in ",|" for i in range(len(self.bytes_a))], object)
+        self.text_b = np.array([f"{i}{end}" for end in ",;" for i in range(len(self.bytes_b))], object)
 
     def encode_a(self, text: str) -> np.ndarray:
         if len(text) > LONG_TEXT:
@@ -91,27 +93,44 @@ class Alignment(NamedTuple):
     at_b: np.ndarray
 
 
-_NONE = Alignment(*(np.zeros(0, np.int64) for _ in range(4)))
-
-
-def align(texts: list[str | None], both: Tokenizers) -> list[Alignment]:
-    """One alignment per text; without tokens where a text is null, empty or not given back by one of the sides."""
+def encode(texts: list[str | None], both: Tokenizers) -> list[tuple[bytes, bytes]]:
+    """Ids of both sides as bytes; none where a text is null, empty or not given back by one of the sides."""
     out, ids_b = [], both.b.encode([t or "" for t in texts], num_threads=1)
     for text, b in zip(texts, ids_b):
-        if not text:
-            out.append(_NONE)
-            continue
-        whole = " " + text
-        a, raw = both.encode_a(whole), whole.encode()
-        if b"".join(map(both.bytes_a.__getitem__, a.tolist())) != raw or b"".join(map(both.bytes_b.__getitem__, b)) != raw:
-            out.append(_NONE)
-            continue
-        b = np.array(b, np.int64)
+        raw = (" " + text).encode() if text else b""
+        a = both.encode_a(" " + text) if text else np.zeros(0, np.int64)
+        if int(both.size_a[a].sum()) != len(raw) or b"".join(map(both.bytes_b.__getitem__, b)) != raw:
+            a, b = a[:0], []  # the A side is lossless by construction, so its size tells; the B side may normalise
+        out.append((a.astype(both.kind).tobytes(), np.array(b, both.kind).tobytes()))
+    return out
+
+
+def align(ids: list[tuple[bytes, bytes]], both: Tokenizers) -> list[Alignment]:
+    out = []
+    for a, b in ids:
+        a, b = (np.frombuffer(x, both.kind).astype(np.int64) for x in (a, b))
         _, at_a, at_b = np.intersect1d(np.cumsum(both.size_a[a]), np.cumsum(both.size_b[b]), assume_unique=True, return_indices=True)
         out.append(Alignment(a, b, at_a, at_b))
     return out
 
 
+def encoded(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, a, b): the stored ids of every row."""
+
+    def run(batches):
+        both = tokenizers(path_a, path_b)
+        for batch in pieces(batches, "text"):
+            ids = encode(batch.column("text").to_pylist(), both)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, pa.binary()) for x in zip(*ids)]], names=["doc_id", "a", "b"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return stored(rows.mapInArrow(run, "doc_id long, a binary, b binary"))
+
+
+def _ids(batch: pa.RecordBatch) -> list[tuple[bytes, bytes]]:
+    return [*zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
+
+
 def pairs(x: Alignment) -> np.ndarray:
     return x.a[x.at_a] << 32 | x.b[x.at_b]
 
@@ -128,8 +147,8 @@ def groups_text(x: Alignment, both: Tokenizers) -> str:
     group_a, group_b = np.cumsum(end_a) - end_a, np.cumsum(end_b) - end_b
     to_a = np.arange(n) + np.r_[0, x.at_b + 1][group_a]
     to_b = np.arange(m) + (x.at_a + 1)[group_b]
-    out[to_a] = np.where(end_a, both.text_a[1][x.a], both.text_a[0][x.a])
-    out[to_b] = np.where(end_b, both.text_b[1][x.b], both.text_b[0][x.b])
+    out[to_a] = both.text_a[x.a + end_a * len(both.bytes_a)]
+    out[to_b] = both.text_b[x.b + end_b * len(both.bytes_b)]
     return "".join(out.tolist())[:-1]
 
 
@@ -169,7 +188,7 @@ class PerfectHash:
         return np.where(known, out, -1)
 
 
-def partial_counts(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
+def partial_counts(ids: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(pair, n): links counted by task; a task writes what it holds whenever that exceeds HELD_PAIRS."""
 
     def rows(held):
@@ -179,8 +198,8 @@ def partial_counts(docs: DataFrame, path_a: str, path_b: str, text: str = "text"
 
     def run(batches):
         both, held, size = tokenizers(path_a, path_b), [], 0
-        for batch in pieces(batches, "text"):
-            found = [pairs(x) for x in align(batch.column("text").to_pylist(), both)]
+        for batch in pieces(batches, "a"):
+            found = [pairs(x) for x in align(_ids(batch), both)]
             held.append(np.unique(np.concatenate(found), return_counts=True))
             size += len(held[-1][0])
             if size > HELD_PAIRS:
@@ -192,7 +211,7 @@ def partial_counts(docs: DataFrame, path_a: str, path_b: str, text: str = "text"
         if held:
             yield pa.RecordBatch.from_arrays([*map(pa.array, rows(held))], names=["pair", "n"])
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "pair long, n long")
+    return ids.select("a", "b").mapInArrow(run, "pair long, n long")
 
 
 def summed(partial: DataFrame, hashed: PerfectHash, fan_in: int = FAN_IN) -> np.ndarray:
@@ -233,10 +252,10 @@ class PairCounts(NamedTuple):
         return n, (n > 0) & (n == self.best[keys & 0xFFFFFFFF]) if len(self.best) else n > 0
 
 
-def count_pairs(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> PairCounts:
-    """Counts of all pairs that are linked in ``docs``."""
+def count_pairs(ids: DataFrame, path_a: str, path_b: str) -> PairCounts:
+    """Counts of all pairs that are linked in ``encoded`` documents."""
     both = tokenizers(path_a, path_b)
-    partial = stored(partial_counts(docs, path_a, path_b, text))
+    partial = stored(partial_counts(ids, path_a, path_b))
     distinct = stored(partial.select("pair").distinct())
     bound = pair_bound(both)
     if (n := distinct.count()) > bound:
@@ -250,7 +269,7 @@ def count_pairs(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -
 
 def pair_table(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
     """(a_id, b_id, n, best) of every linked pair of ids; under ``pair_bound`` rows."""
-    found, spark = count_pairs(docs, path_a, path_b, text), docs.sparkSession
+    found, spark = count_pairs(encoded(docs.withColumn("doc_id", F.lit(0)), path_a, path_b, text=text), path_a, path_b), docs.sparkSession
     keys = found.hashed.keys
     _, best = found.of(keys)
     table = pa.table({"a_id": keys >> 32, "b_id": keys & 0xFFFFFFFF, "n": np.asarray(found.counts, np.int64), "best": best})
@@ -268,7 +287,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> Da
 
     def make(batch):
         both, out = tokenizers(path_a, path_b), []
-        for x in align(pc.cast(batch.column(text), pa.string()).to_pylist(), both):
+        for x in align(encode(pc.cast(batch.column(text), pa.string()).to_pylist(), both), both):
             stop = np.cumsum(both.size_a[x.a])[x.at_a]
             cut_a, cut_b = np.split(x.a, x.at_a + 1), np.split(x.b, x.at_b + 1)
             out.append([{"a_ids": a, "b_ids": b, "start": int(s), "stop": int(e)} for a, b, s, e in zip(cut_a, cut_b, np.r_[0, stop], stop)])
@@ -282,14 +301,14 @@ def digests(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", t
 
     A group ends with one link, as every token has a byte. Repeated rows count as often as they occur; null ids stay; an
     empty table gives no rows; other columns are not looked at."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(count_pairs(rows, path_a, path_b))
+    ids = encoded(docs, path_a, path_b, doc_id, text)
+    shared = docs.sparkSession.sparkContext.broadcast(count_pairs(ids, path_a, path_b))
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
     def run(batches):
         both, known = tokenizers(path_a, path_b), shared.value
-        for batch in pieces(batches, "text"):
-            found = align(batch.column("text").to_pylist(), both)
+        for batch in pieces(batches, "a"):
+            found = align(_ids(batch), both)
             links = [len(x.at_a) for x in found]
             n, best = known.of(np.concatenate([pairs(x) for x in found]))
             upto = np.cumsum([0, *links])
@@ -302,4 +321,4 @@ def digests(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", t
                  pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in made], pa.string())],
                 names=["doc_id", *names, "groups_sha256"])
 
-    return rows.mapInArrow(run, f"doc_id long, {', '.join(f'{x} long' for x in names)}, groups_sha256 string")
+    return ids.mapInArrow(run, f"doc_id long, {', '.join(f'{x} long' for x in names)}, groups_sha256 string")
