@@ -8,11 +8,13 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from codeloom.llm import bpe_trie, hamming_dedup, line_dedup, packing, quality, rp_forest, sharding, suffix_dedup, url_filter, vector_graph
 from codeloom.llm.base import ship
 from codeloom.llm.suffix_array import permuted_lcp, suffix_array
+from codeloom.session import cut
 
 SF = "/root/testdata/sf0.001"
 WORDS = [f"w{i}" for i in range(400)]
@@ -55,30 +57,60 @@ def test_suffix_array_matches_sorting():
             assert lcp[i] == k
 
 
-def brute_repeats(texts):
+def brute_repeats(texts, length=400):
     raw = [(t or "").encode() for t in texts]
-    seen = Counter(r[i:i + 400] for r in raw for i in range(len(r) - 399))
+    seen = Counter(r[i:i + length] for r in raw for i in range(len(r) - length + 1))
     out = []
     for r in raw:
         gone = np.zeros(len(r) + 1, bool)
-        for i in range(len(r) - 399):
-            if seen[r[i:i + 400]] > 1:
-                gone[i:i + 400] = True
+        for i in range(len(r) - length + 1):
+            if seen[r[i:i + length]] > 1:
+                gone[i:i + length] = True
         kept = bytes(b for b, g in zip(r, gone) if not g)
-        out.append((len(r), int(gone.sum()), int((gone[:-1] & ~np.r_[False, gone[:-1]][:-1]).sum()), hashlib.sha256(kept).hexdigest()))
+        out.append((len(r), int(gone.sum()), int((gone[:-1] & ~np.r_[False, gone[:-1]][:-1]).sum()), hashlib.sha256(kept).hexdigest(), bool(gone.any())))
     return out
 
 
-@pytest.mark.parametrize("hot", [200, 1])
-def test_suffix_dedup(docs, nothing, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    small = docs.where("text is null or length(text) < 5000")
-    got = [tuple(r) for r in suffix_dedup.remove_repeats(small).collect()]
+def brute_later(texts, length):
+    """What is left of distinct texts when the first occurrence of every string stays, by text hash and position."""
+    raw = sorted({(t or "").encode() for t in texts}, key=lambda r: hashlib.md5(r).digest())
+    seen, out = set(), {}
+    for r in raw:
+        gone = np.zeros(len(r), bool)
+        for i in range(len(r) - length + 1):
+            if (w := r[i:i + length]) in seen:
+                gone[i:i + length] = True
+            seen.add(w)
+        out[r.decode()] = bytes(b for b, g in zip(r, gone) if not g).decode("utf-8", "ignore")
+    return out
+
+
+def crowded_texts():
+    """One passage in many texts with other neighbours on both sides, also near its ends, and in families that share one side."""
+    passage, rng = words(77, 120)[:500], np.random.default_rng(8)
+    out = [words(100 + i, 40) + passage + words(300 + i, 40) for i in range(40)]
+    out += [words(100 + i % 3, 60) + passage[:rng.integers(90, 500)] + words(500 + i, 50) for i in range(40)]
+    return out + ["ab" * 400, "ab" * 300 + passage, passage * 2]
+
+
+@pytest.mark.parametrize(("length", "crowd"), [(400, 200), (400, 1), (200, 5)])
+def test_suffix_dedup(spark, docs, nothing, monkeypatch, length, crowd):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "STEP", 3000)
+    small = docs.where("text is null or length(text) < 5000").select("doc_id", "text").unionByName(
+        spark.createDataFrame([*enumerate(crowded_texts(), 1000)], "doc_id long, text string"))
+    got = [tuple(r) for r in suffix_dedup.remove_repeats(small, length=length).collect()]
     rows = small.select("doc_id", "text").collect()
-    want = [(r.doc_id, *w) for r, w in zip(rows, brute_repeats([r.text for r in rows]))]
+    want = [(r.doc_id, *w) for r, w in zip(rows, brute_repeats([r.text for r in rows], length))]
     assert Counter(got) == Counter(want)
-    assert suffix_dedup.remove_repeats(nothing).count() == 0
-    assert suffix_dedup.cleaned(small).columns == docs.columns
+    later = brute_later([r.text for r in rows], length)
+    kept = suffix_dedup.cleaned(small, length=length, keep_first=True).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter((r.doc_id, r.text if r.text is None else later[r.text]) for r in rows)
+
+
+def test_suffix_dedup_empty_and_columns(docs, nothing):
+    assert suffix_dedup.remove_repeats(nothing).count() == 0 and suffix_dedup.cleaned(nothing, keep_first=True).count() == 0
+    assert suffix_dedup.cleaned(docs).columns == docs.columns
 
 
 def brute_shingles(text):
@@ -219,6 +251,45 @@ def test_sharding(spark, docs, nothing):
         assert sorted(sharding.permute(np.arange(n), n)) == list(range(n))
 
 
+def test_url_parts_equal_a_loop(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    odd = [(-1, "a://b"), (-2, "x://H/p?q#r"), (-3, "://?x"), (-4, "no scheme"), (-5, None), (-6, "http://É.Example.COM/en/ü://z"), (-7, ""), (-8, "s://net/es/\n?")]
+    pages = pages.unionByName(spark.createDataFrame(odd, "page_id long, url string"))
+    rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+    rows = {r.page_id: r.url for r in pages.collect()}
+    for r in url_filter.judge(pages).collect():
+        _, found, rest = (rows[r.page_id] or "").partition("://")
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host):]).group()
+        host = re.sub("[A-Z]", lambda m: m.group().lower(), host)
+        fit = max((x for x in rules if (host == x[1] or host.endswith("." + x[1])) and path.startswith(x[2])), key=lambda x: len(x[1] + x[2]), default=None)
+        assert (r.host, r.path, r.rule) == (host, path, fit and fit[1] + fit[2]), r
+        assert fit is None or r.verdict == fit[0]
+
+
+def test_url_grams_and_long_urls(spark):
+    import time
+
+    rows = spark.createDataFrame([("aé𝄞b", ""), ("", "xyz")], "h string, p string")
+    got = [set(r[0]) for r in rows.select(url_filter.grams(F.col("h"), F.col("p"))).collect()]
+    marked = [("^aé𝄞b$", "^$"), ("^$", "^xyz$")]
+    assert got == [{m + t[i:i + n] for m, t in zip("hp", texts) for n in url_filter.GRAMS for i in range(len(t) - n + 1)} for texts in marked]
+    rng = np.random.default_rng(0)
+    letters = "".join(rng.choice([*"abcdefgh/"], 1_000_000))
+    pages = spark.createDataFrame([(1, "http://x.example.org/" + letters), (2, letters), (3, letters + "://h/p")], "page_id long, url string")
+    start = time.time()
+    assert url_filter.judge(pages).count() == 3 and {r.host for r in url_filter.judge(pages).collect()} == {"x.example.org", "", "h"}
+    assert time.time() - start < 120
+
+
+@pytest.mark.parametrize("space", [" ", "\t", "\n", "\r\n \u00a0"])
+def test_packing_encodes_two_million_blanks(space):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    for text in ("word" + space * (2_000_000 // len(space)) + "<|endoftext|> end", space * 50_000 + "x"):
+        assert packing.encode(text, path).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_url_filter(spark):
     urls = {"http://a.example.com/en/1": ("example.com/en/", "block"), "https://www.example.com/en/x?y": ("www.example.com/en/", "allow"),
             "http://EXAMPLE.com/de": ("com/", "allow"), "http://x.net/es/": ("net/es/", "block"), "http://example.com:80/en/": (None, None), "http://www.garden.example.org/en/9": (None, "allow"),
@@ -393,12 +464,8 @@ def brute_stages(rows):
                 if same:
                     label[a] = label[b] = min(label[a], label[b])
     near = [min((r for r, c in zip(lines, label) if c == group), key=lambda r: place(*r)) for group in sorted(set(label))]
-    raw = [(t or "").encode() for _, t in near]
-    count = Counter(r[k:k + 400] for r in raw for k in range(len(r) - 399))
-    cut = []
-    for (i, t), r in zip(near, raw):
-        out = {k + d for k in range(len(r) - 399) if count[r[k:k + 400]] > 1 for d in range(400)}
-        cut.append((i, bytes(x for k, x in enumerate(r) if k not in out).decode("utf-8", "ignore") if out else t))
+    later = brute_later([t for _, t in near], 200)
+    cut = [(i, later[t] if t else t) for i, t in near]
     return lines, near, cut
 
 
@@ -417,7 +484,7 @@ def test_pipeline_stages_against_brute_force(spark):
             (10, ""), (11, None), (11, None), (12, "é" * 450), (13, words(85, 60) + "\nlone line"), (14, words(86, 60) + "\nlone line")]
     docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
     for (name, stage), want in zip(corpus_pipeline.STAGES[1:4], brute_stages(rows)):
-        docs = stage(spark, docs, SF).localCheckpoint()
+        docs = cut(stage(spark, docs, SF))[0]
         assert Counter((r.doc_id, r.text) for r in docs.collect()) == Counter(want), name
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     packed = corpus_pipeline.best_fit_packing(spark, docs, SF).collect()
