@@ -45,25 +45,38 @@ def current_version(spark: SparkSession, folder: str) -> int:
     return max((v for v, done in _versions(spark, folder).items() if done), default=0)
 
 
-def _publish(spark: SparkSession, folder: str, name: str) -> int:
-    """Create the next log entry. Creation fails where the entry exists, so of two writers one goes on to the next
-    version and none is lost."""
+class ConcurrentCommit(RuntimeError):
+    """Another writer committed after the version that a change was based on."""
+
+
+def _publish(spark: SparkSession, folder: str, name: str, base: int | None = None) -> int:
+    """Create the next log entry. Creation fails where the entry exists, so two writers never share a version. With
+    ``base``, the version the content was derived from, the entry is only made while that is the last committed one: of
+    two changes to one base the second fails and can be derived anew, so neither is lost."""
     while True:
-        version = max(_versions(spark, folder), default=0) + 1
+        entries = _versions(spark, folder)
+        if base is not None and max((v for v, done in entries.items() if done), default=0) != base:
+            raise ConcurrentCommit(f"{folder} has moved on from version {base}")
+        version = max(entries, default=0) + 1
         path, fs = _path(spark, f"{folder}/log/{version:08d}")
         try:
             out = fs.create(path, False)
         except Exception:
             if fs.exists(path):
+                if base is not None:  # its writer may not have written the name yet
+                    raise ConcurrentCommit(f"{folder} is being moved on from version {base}") from None
                 continue
             raise
+        if base is not None and any(done and base < v < version for v, done in _versions(spark, folder).items()):
+            out.close()  # stays empty, as a dead writer's entry does
+            raise ConcurrentCommit(f"{folder} has moved on from version {base}")
         out.write(bytearray(name, "utf-8"))
         out.close()
         return version
 
 
-def save(index: Index, folder: str) -> int:
-    """Write the next version and commit it."""
+def save(index: Index, folder: str, base: int | None = None) -> int:
+    """Write the next version and commit it; with ``base``, only if that is still the current version."""
     spark = index.nodes.sparkSession
     name = f"data-{uuid.uuid4().hex}"
     meta = dict(index.metadata)
@@ -76,7 +89,7 @@ def save(index: Index, folder: str) -> int:
         meta[COUNT + relation] = str(rows)
     spark.createDataFrame(list(meta.items()), "key string, value string").withColumn(
         "updated_at", F.unix_millis(F.current_timestamp())).coalesce(1).write.mode("errorifexists").parquet(f"{folder}/{name}/metadata")
-    return _publish(spark, folder, name)
+    return _publish(spark, folder, name, base)
 
 
 def load(spark: SparkSession, folder: str, version: int | None = None) -> Index:
