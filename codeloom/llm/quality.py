@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.llm.base import append, flat, pieces
+from codeloom.session import cut
 
 #: Hashed features, latent dimensions, neighbours that vote, labelled rows per class that are fitted (a documented bound).
 FEATURES, RANK, NEIGHBOURS, PER_CLASS = 2048, 48, 25, 1500
@@ -41,8 +42,8 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 class Model:
     """Projection, labelled unit vectors and labels; about 600 kB, whatever the corpus."""
 
-    def __init__(self, idf: np.ndarray, counts: np.ndarray, labels: np.ndarray):
-        self.idf, self.labels = idf.astype(np.float32), labels.astype(np.float64)
+    def __init__(self, idf: np.ndarray, counts: np.ndarray, labels: np.ndarray, prior: float = 0.5):
+        self.idf, self.labels, self.prior = idf.astype(np.float32), labels.astype(np.float64), prior
         self.basis = np.zeros((FEATURES, RANK), np.float32)
         if len(labels):
             x = weighted(counts, self.idf)
@@ -56,14 +57,17 @@ class Model:
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         """Share of label 1 among the nearest labelled vectors, each vote weighted by its cosine (floored just above
-        zero). Ties in cosine go to the earlier labelled row. No labelled rows: 0.5."""
+        zero). Ties in cosine go to the earlier labelled row. A zero vector has no nearest one: it gets the prior. No
+        labelled rows: 0.5."""
         if not len(self.labels):
             return np.full(len(counts), 0.5)
-        cosine = self.project(counts).astype(np.float64) @ self.known.T.astype(np.float64)
+        own = self.project(counts).astype(np.float64)
+        cosine = own @ self.known.T.astype(np.float64)
         k = min(NEIGHBOURS, len(self.labels))
         near = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
         votes = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6) ** 4
-        return np.clip((votes * self.labels[near]).sum(1) / votes.sum(1), 0.0, 1.0)
+        share = np.clip((votes * self.labels[near]).sum(1) / votes.sum(1), 0.0, 1.0)
+        return np.where(own.any(1), share, self.prior)
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -72,7 +76,8 @@ def is_held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Document frequencies from all rows of ``docs``; the labelled vectors from at most PER_CLASS rows of each label
-    (those with the smallest hashes) whose id is not held out."""
+    (those with the smallest hashes) whose id is not held out; the prior is the share of label 1 among all such rows.
+    Labelled vectors stand in the order of their contents, so that no id decides a tie."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def frequencies(batches):
@@ -91,7 +96,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     marked = marked.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     # Labelled ids may lack a document: semi join first, on ids alone, then take the bounded sample.
-    there = marked.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+    there, _ = cut(marked.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"))
+    prior = there.agg(F.avg("quality")).first()[0]
     parts = [there.where(F.col("quality") == q).orderBy(*order).limit(PER_CLASS) for q in (0, 1)]
     sample = rows.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")  # at most 2 * PER_CLASS rows
 
@@ -103,15 +109,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     got = sample.select("doc_id", "quality", "text").mapInArrow(vectors, "doc_id long, quality int, counts binary")
     # A repeated document id gives one vector.
-    got = sorted(got.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("counts").alias("counts")).collect())
+    got = got.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("counts").alias("counts")).collect()
+    got.sort(key=lambda r: (bytes(r.counts), r.quality))
     counts = np.array([np.frombuffer(r.counts, np.uint32) for r in got], np.float32).reshape(-1, FEATURES)
-    return Model(idf, counts, np.array([r.quality for r in got]))
+    return Model(idf, counts, np.array([r.quality for r in got]), 0.5 if prior is None else float(prior))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 of every whole text, from the text alone. A null or empty text has a zero
-    vector, whose neighbours are the first labelled rows at cosine 0; it gets a score like any other. Every document is
-    compared exactly with all labelled vectors, in blocks; the model is broadcast once."""
+    """``docs`` with a score from 0 to 1 of every whole text, from the text alone. A null or empty text, or
+    one of fewer than three bytes, has a zero vector and gets the prior. Every other document is compared exactly with all labelled vectors, in blocks; the model is broadcast once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(column)
 

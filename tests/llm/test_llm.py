@@ -1,6 +1,8 @@
 """Operators for training data against brute force on small tables, with nulls, copies, empty and clashing columns."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -316,6 +318,63 @@ def test_quality(spark, docs, nothing):
     assert quality.classify(nothing, labels).count() == 0
 
 
+def test_quality_vote_brute_force(spark):
+    """Trigrams, weights, projection and votes in plain loops; ties and zero vectors do not depend on ids."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("red blue green 12 7 Sky sea".split()) for _ in range(rng.randrange(0, 12))) for _ in range(60)]
+    texts += ["", None, "ab", "zz zz zz"] + texts[:12]
+    rows = [(i, t, int("red" in (t or "")) if i % 7 else i % 2) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(df, df)
+    got = {r.doc_id: r.score for r in quality.score(df, model).select("doc_id", "score").collect()}
+
+    def trigrams(text):
+        fold = [48 if 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()]
+        counts = Counter()
+        for x, y, z in zip(fold, fold[1:], fold[2:]):
+            mixed = (x * 0x9E3779B1 ^ y * 0x85EBCA77 ^ z * 0xC2B2AE3D) & 0xFFFFFFFF
+            counts[(mixed * 0x27D4EB2F & 0xFFFFFFFF) >> 21] += 1
+        return counts
+
+    held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1}
+    df_count = Counter(f for t in texts for f in trigrams(t))
+    for f, n in df_count.items():
+        assert math.isclose(model.idf[f], math.log((1 + len(texts)) / (1 + n)), rel_tol=1e-5, abs_tol=1e-6)
+
+    def latent(text):
+        x = np.zeros(quality.FEATURES)
+        for f, n in trigrams(text).items():
+            x[f] = math.log1p(n) * math.log((1 + len(texts)) / (1 + df_count[f]))
+        y = x / max(np.linalg.norm(x), 1e-12) @ model.basis.astype(float)
+        return y / max(np.linalg.norm(y), 1e-12)
+
+    known = [(latent(t), q) for i, t, q in rows if i not in held]
+    prior = sum(q for _, q in known) / len(known)
+    for i, text, _ in rows:
+        own = latent(text)
+        if not own.any():
+            assert math.isclose(got[i], prior), text
+            continue
+        votes = sorted(((float(own @ v), q) for v, q in known), reverse=True)
+        edge = votes[min(quality.NEIGHBOURS, len(votes)) - 1][0]
+        sure = [(c, q) for c, q in votes if c > edge + 1e-6]
+        tied = [q for c, q in votes if abs(c - edge) <= 1e-6]
+        weight = lambda c: max(c, 1e-6) ** 4
+        left = min(quality.NEIGHBOURS, len(votes)) - len(sure)
+        total = sum(weight(c) for c, _ in sure) + left * weight(edge)
+        ones = sum(weight(c) for c, q in sure if q)
+        least, most = max(0, left - tied.count(0)), min(left, tied.count(1))
+        assert (ones + least * weight(edge)) / total - 1e-4 <= got[i] <= (ones + most * weight(edge)) / total + 1e-4, text
+    assert len({round(got[i], 9) for i, t, _ in rows if len(t or "") < 3}) == 1
+    # The same rows under other ids that are in the same folds: the same scores.
+    free = [j for j in range(1000, 9000) if zlib.crc32(str(j).encode()) % 3 != 1][::-1]
+    shut = [j for j in range(1000, 9000) if zlib.crc32(str(j).encode()) % 3 == 1]
+    other = {i: (shut if i in held else free).pop() for i, _, _ in rows}
+    again = spark.createDataFrame([(other[i], t, q) for i, t, q in rows], df.schema)
+    scores = {r.doc_id: r.score for r in quality.score(again, quality.fit(again, again)).select("doc_id", "score").collect()}
+    assert all(math.isclose(scores[other[i]], got[i], abs_tol=1e-6) for i, _, _ in rows)
+
+
 def test_quality_votes_with_true_counts_of_a_long_text(spark):
     ship(spark)
     long = "a" * 65540 + words(40, 30)  # one trigram 65,538 times
