@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from codeloom import schema
 from codeloom.operators import dml
 from codeloom.session import cut
 
+if TYPE_CHECKING:
+    from codeloom.sources.edge_layout import EdgeLayouts
+
 
 @dataclass
 class Graph:
@@ -19,7 +23,8 @@ class Graph:
     ``node_rows``, ``edge_rows`` and ``ref_rows`` are upper bounds on the row counts where the
     caller knows them (Parquet footers); they let joins skip the search for hot
     keys when no key can be hot. ``stored`` says that the relations are plain
-    table scans, so reading them repeatedly costs no recomputation.
+    table scans, so reading them repeatedly costs no recomputation. ``layouts``
+    holds the same edges by either end, for reads that touch few of them.
     """
 
     nodes: DataFrame
@@ -32,6 +37,7 @@ class Graph:
     edge_rows: int | None = None
     ref_rows: int | None = None
     stored: bool = False
+    layouts: "EdgeLayouts | None" = None
 
     @property
     def spark(self) -> SparkSession:
@@ -52,12 +58,17 @@ class Graph:
     def node(self, node_id: str) -> DataFrame:
         return self.nodes.filter(F.col("id") == node_id)
 
+    def _edges_at(self, end: str, node_id: str) -> DataFrame:
+        if self.layouts:
+            return self.layouts.at(end, node_id).select(*self.edges.columns)
+        return self.edges.filter(F.col(end) == node_id)
+
     def edges_out(self, node_id: str, kinds: list[str] | None = None) -> DataFrame:
-        hit = self.edges.filter(F.col("source") == node_id)
+        hit = self._edges_at("source", node_id)
         return hit.filter(F.col("kind").isin(kinds)) if kinds else hit
 
     def edges_in(self, node_id: str, kinds: list[str] | None = None) -> DataFrame:
-        hit = self.edges.filter(F.col("target") == node_id)
+        hit = self._edges_at("target", node_id)
         return hit.filter(F.col("kind").isin(kinds)) if kinds else hit
 
     def contained(self, node_id: str, kinds: list[str] | None = None) -> DataFrame:
@@ -83,7 +94,7 @@ class Graph:
         """Add edges: endpoints must exist, duplicates are ignored."""
         kept = dml.filter_dangling(new, self.nodes)
         merged = dml.dedupe_edges(self.edges.unionByName(kept, allowMissingColumns=True))
-        return replace(self, edges=merged, edge_rows=None, stored=False)
+        return replace(self, edges=merged, edge_rows=None, stored=False, layouts=None)
 
     # -- counts -----------------------------------------------------------
     def stats(self) -> DataFrame:

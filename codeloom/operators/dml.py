@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.operators.skew import ends_join, lookup_join
+from codeloom.session import broadcast_rows, cut
+
 EDGE_KEY = ["source", "target", "kind"]
 
 
@@ -57,28 +60,20 @@ def dedupe_edges(edges: DataFrame) -> DataFrame:
     )
 
 
-def filter_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Keep edges whose both ends exist."""
-    ids = nodes.select(F.col("id"))
-    return (
-        edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi")
-        .join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-        .select(*edges.columns)
-    )
+def filter_dangling(edges: DataFrame, nodes: DataFrame, rows: int | None = None) -> DataFrame:
+    """Keep edges whose both ends exist; ``rows`` is the row count of ``edges`` where that is a stored table."""
+    return ends_join(edges, nodes, "left_semi", rows)
 
 
-def delete_files(nodes: DataFrame, edges: DataFrame, refs: DataFrame, paths: DataFrame):
+def delete_files(nodes: DataFrame, edges: DataFrame, refs: DataFrame, paths: DataFrame, edge_rows: int | None = None):
     """Delete the nodes of some files; edges at either end and references go too.
 
-    ``paths`` has one column ``file_path``. Returns (nodes, edges, refs).
+    ``paths`` has one column ``file_path``; ``edge_rows`` is the row count of ``edges`` where that is a stored table.
+    Returns (nodes, edges, refs).
     """
     gone = nodes.join(paths, "file_path", "left_semi").select("id")
     kept_nodes = nodes.join(paths, "file_path", "left_anti").select(*nodes.columns)
-    kept_edges = (
-        edges.join(gone.withColumnRenamed("id", "source"), "source", "left_anti")
-        .join(gone.withColumnRenamed("id", "target"), "target", "left_anti")
-        .select(*edges.columns)
-    )
+    kept_edges = ends_join(edges, gone, "left_anti", edge_rows)
     kept_refs = refs.join(gone.withColumnRenamed("id", "from_node_id"), "from_node_id", "left_anti")
     return kept_nodes, kept_edges, kept_refs.select(*refs.columns)
 
@@ -89,11 +84,14 @@ def cross_file_incoming(nodes: DataFrame, edges: DataFrame, paths: DataFrame) ->
     target = nodes.join(paths, "file_path", "left_semi").select(
         F.col("id").alias("target"), F.col("kind").alias("target_kind"),
         F.col("name").alias("target_name"), F.col("file_path").alias("target_path"))
+    target, n = cut(target)
     source = nodes.select(F.col("id").alias("source"), F.col("file_path").alias("source_path"))
-    return (
-        edges.join(target, "target").join(source, "source")
-        .filter(F.col("source_path") != F.col("target_path"))
-    )
+    if n <= broadcast_rows(nodes.sparkSession):
+        into = edges.join(F.broadcast(target), "target")
+    else:
+        into = lookup_join(edges, target, ["target"], "inner")
+    # A hub may own many of these edges: its one row is repeated instead.
+    return lookup_join(into, source, ["source"], "inner").filter(F.col("source_path") != F.col("target_path"))
 
 
 def mark_failed(refs: DataFrame, failed_ids: DataFrame) -> DataFrame:

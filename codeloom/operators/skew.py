@@ -23,6 +23,7 @@ def lookup_join(
     how: str = "left",
     max_rows: int | None = None,
     stored: bool = False,
+    keys_of: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right``, where ``right`` has at most one row per key.
 
@@ -32,6 +33,7 @@ def lookup_join(
     one hot key needs, no key can be hot and the plain join is used. Otherwise
     ``left`` is written to a table (unless it is ``stored``), so that counting
     its keys does not compute it twice and nested calls do not double the plan.
+    Where ``left`` is a part of a stored table with the same keys, ``keys_of`` names that table: its keys are counted instead.
     The table of hot keys is counted before it is broadcast.
     """
     spark = left.sparkSession
@@ -43,7 +45,7 @@ def lookup_join(
         if rows < hot_min:
             return left.join(right, on, how)
     hot, keys = cut(
-        left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+        (left if keys_of is None else keys_of).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") >= hot_min)
         .select(*on, F.ceil(F.col("_n") / hot_min).cast("int").alias("_spread"))
     )
@@ -66,6 +68,26 @@ def lookup_join(
     return salted_left.join(salted_right, on + ["_salt"], how).drop("_salt")
 
 
+def ends_join(edges: DataFrame, ids: DataFrame, how: str, rows: int | None = None, ends: tuple[str, ...] = ("source", "target")) -> DataFrame:
+    """Semi or anti join of both ends of ``edges`` with ``ids`` (id, unique).
+
+    Few ids are counted and broadcast: no edge moves. Otherwise each end is a shuffle in which the edges of a hub are spread
+    over several tasks and only the hub's id is repeated. ``edges`` is written once unless its ``rows`` are known, which means
+    that it is a stored table."""
+    ids, n = cut(ids.select("id"))
+    cols = edges.columns
+    if n <= broadcast_rows(edges.sparkSession):
+        for end in ends:
+            edges = edges.join(F.broadcast(ids.withColumnRenamed("id", end)), end, how)
+        return edges.select(*cols)
+    if rows is None:
+        edges, rows = cut(edges)
+    out = edges
+    for end in ends:
+        out = lookup_join(out, ids.withColumnRenamed("id", end), [end], how, rows, stored=True, keys_of=edges)
+    return out.select(*cols)
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[str], value: list[str]) -> DataFrame:
     """First row per key. ``min`` of a struct combines map-side, so a key that
     owns a third of the rows still reaches the reducer as one row per task."""

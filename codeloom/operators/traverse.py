@@ -4,7 +4,9 @@ Distances are minimal ones. A walk runs over a step table (src, dst, cost):
 each round is one join of the frontier (unique ids) with the steps, so a step
 row is read once per round and can match at most one frontier row. A frontier
 is broadcast only after its rows were counted; a larger one is joined by a
-shuffle in which the steps of a hub node are spread over several tasks.
+shuffle in which the steps of a hub node are spread over several tasks. On a
+graph with edge layouts a round scans only the directories, and for a small
+frontier only the row groups, that hold edges of its nodes.
 """
 
 from __future__ import annotations
@@ -63,17 +65,41 @@ def _seeds(graph: Graph, node_id: str) -> DataFrame:
     return focal.select("id").union(methods).distinct().withColumn("distance", F.lit(0))
 
 
-def _walk(graph: Graph, node_id: str, max_depth: int, near: str, far: str) -> DataFrame:
-    steps = (
-        graph.edges.filter(F.col("kind").isin(schema.CALL_LIKE) & (F.col("source") != F.col("target")))
+def _round(graph: Graph, frontier: DataFrame, rows: int, calls: str | None = None):
+    """The steps one round has to read from the edge layouts: call-like ones with ``calls`` as the near end, or those of
+    an impact walk."""
+    edges = graph.layouts.near(frontier, rows)
+    if calls:
+        return _call_steps(edges(calls), calls), graph.layouts.rows
+    return _impact_steps(edges("source").where("holder"), edges("target").where("kind <> 'contains'")), graph.layouts.rows
+
+
+def _call_steps(edges: DataFrame, near: str) -> DataFrame:
+    far = "source" if near == "target" else "target"
+    return (
+        edges.filter(F.col("kind").isin(schema.CALL_LIKE) & (F.col("source") != F.col("target")))
         .select(F.col(near).alias("src"), F.col(far).alias("dst"), F.lit(1).alias("cost"))
     )
-    step_rows = graph.edge_rows
-    if max_depth > 1:
-        steps, step_rows = _store_steps(graph, steps)
+
+
+def _impact_steps(inside: DataFrame, inward: DataFrame) -> DataFrame:
+    return (
+        inside.select(F.col("source").alias("src"), F.col("target").alias("dst"), F.lit(0).alias("cost"))
+        .unionByName(inward.select(F.col("target").alias("src"), F.col("source").alias("dst"), F.lit(1).alias("cost")))
+    )
+
+
+def _walk(graph: Graph, node_id: str, max_depth: int, near: str) -> DataFrame:
+    steps, step_rows = None, graph.edge_rows
+    if not graph.layouts:
+        steps = _call_steps(graph.edges, near)
+        if max_depth > 1:
+            steps, step_rows = _store_steps(graph, steps)
     frontier, rows = cut(_seeds(graph, node_id))
     known, hits = [(frontier, rows)], []
     for depth in range(1, max_depth + 1):
+        if graph.layouts:
+            steps, step_rows = _round(graph, frontier, rows, near)
         found = _expand(steps, step_rows, frontier, rows)
         if depth == max_depth:
             hits.append(found)
@@ -100,12 +126,12 @@ def _describe(graph: Graph, ids: DataFrame) -> DataFrame:
 def callers(graph: Graph, node_id: str, max_depth: int = 1) -> DataFrame:
     """Nodes that reach the focal node (or a method of a focal container) over
     call-like edges, with their distance; the focal node itself is left out."""
-    return _describe(graph, _walk(graph, node_id, max_depth, "target", "source"))
+    return _describe(graph, _walk(graph, node_id, max_depth, "target"))
 
 
 def callees(graph: Graph, node_id: str, max_depth: int = 1) -> DataFrame:
     """Mirror of :func:`callers` along outgoing edges."""
-    return _describe(graph, _walk(graph, node_id, max_depth, "source", "target"))
+    return _describe(graph, _walk(graph, node_id, max_depth, "source"))
 
 
 def _containment(graph: Graph) -> DataFrame:
@@ -125,12 +151,9 @@ class Impact:
     def __init__(self, graph: Graph, node_id: str, max_depth: int = 3):
         self.graph = graph
         self.max_depth = max_depth
-        inward = graph.edges.filter(F.col("kind") != "contains")
-        steps = (
-            _containment(graph).select(F.col("source").alias("src"), F.col("target").alias("dst"), F.lit(0).alias("cost"))
-            .unionByName(inward.select(F.col("target").alias("src"), F.col("source").alias("dst"), F.lit(1).alias("cost")))
-        )
-        steps, step_rows = _store_steps(graph, steps)
+        if not graph.layouts:
+            # Derived even where the edges are stored: written once, not computed in every round.
+            steps, step_rows = cut(_impact_steps(_containment(graph), graph.edges.filter(F.col("kind") != "contains")))
         frontier = graph.node(node_id).select("id", F.lit(0).alias("distance"))
         self._known: list[tuple[DataFrame, int]] = []
         while True:
@@ -139,6 +162,8 @@ class Impact:
                 break
             self._known.append((frontier, rows))
             open_ends = frontier.filter(F.col("distance") < max_depth)
+            if graph.layouts:
+                steps, step_rows = _round(graph, open_ends, rows)
             frontier = _unseen(_expand(steps, step_rows, open_ends, rows), self._known)
 
     @property
@@ -159,10 +184,15 @@ class Impact:
         """``contains`` edges out of, and all other edges into, followed nodes."""
         graph = self.graph
         followed = self.ids.filter(F.col("distance") < self.max_depth).select("id")
-        followed = _bounded(followed, sum(rows for _, rows in self._known))
-        inside = _containment(graph).withColumn("id", F.col("source"))
-        inward = graph.edges.filter(F.col("kind") != "contains").withColumn("id", F.col("target"))
-        both = inside.unionByName(inward)
+        rows = sum(rows for _, rows in self._known)
+        if graph.layouts:
+            near = graph.layouts.near(followed, rows)
+            inside, into = near("source").where("holder"), near("target")
+        else:
+            inside, into = _containment(graph), graph.edges
+        followed = _bounded(followed, rows)
+        inward = into.filter(F.col("kind") != "contains").withColumn("id", F.col("target"))
+        both = inside.withColumn("id", F.col("source")).unionByName(inward)
         return both.join(followed, "id", "left_semi").select(*graph.edges.columns)
 
 

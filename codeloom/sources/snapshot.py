@@ -13,18 +13,20 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.plans.sync import Index
+from codeloom.session import cut
+from codeloom.sources import edge_layout
 
 # How each relation is laid out: range partitions on a key that no hot value can
-# fill alone, sorted so that point reads skip row groups.
+# fill alone, sorted so that point reads skip row groups. Edges have two layouts of
+# their own (edge_layout).
 LAYOUT = {
     "nodes": ["file_path", "seq"],
-    "edges": ["target", "source"],
     "refs": ["reference_name", "ref_id"],
     "annotations": ["file_path", "node_id"],
     "bases": ["reference_name", "ref_id"],
     "files": ["path"],
 }
-COUNT = "rows."
+COUNT, PARTS = "rows.", "parts.edges"
 
 
 def _path(spark: SparkSession, name: str):
@@ -87,6 +89,9 @@ def save(index: Index, folder: str, base: int | None = None) -> int:
             "errorifexists").parquet(f"{folder}/{name}/{relation}")
         rows = index.rows[relation] if index.rows else seen.get["rows"]
         meta[COUNT + relation] = str(rows)
+    edges, rows = (index.edges, index.rows["edges"]) if index.rows else cut(index.edges)
+    layouts = edge_layout.write(edges, index.nodes, f"{folder}/{name}", rows)
+    meta |= {COUNT + "edges": str(rows), PARTS: str(layouts.parts)}
     spark.createDataFrame(list(meta.items()), "key string, value string").withColumn(
         "updated_at", F.unix_millis(F.current_timestamp())).coalesce(1).write.mode("errorifexists").parquet(f"{folder}/{name}/metadata")
     return _publish(spark, folder, name, base)
@@ -99,4 +104,6 @@ def load(spark: SparkSession, folder: str, version: int | None = None) -> Index:
     frames = {relation: spark.read.parquet(f"{folder}/{name}/{relation}") for relation in LAYOUT}
     meta = {r.key: r.value for r in spark.read.parquet(f"{folder}/{name}/metadata").collect()}
     rows = {k.removeprefix(COUNT): int(v) for k, v in meta.items() if k.startswith(COUNT)}
-    return Index(**frames, metadata={k: v for k, v in meta.items() if not k.startswith(COUNT)}, rows=rows)
+    layouts = edge_layout.load(spark, f"{folder}/{name}", int(meta.pop(PARTS)), rows["edges"]) if PARTS in meta else None
+    frames["edges"] = layouts.edges() if layouts else spark.read.parquet(f"{folder}/{name}/edges")  # saved before there were layouts
+    return Index(**frames, metadata={k: v for k, v in meta.items() if not k.startswith(COUNT)}, rows=rows, layouts=layouts)

@@ -1,8 +1,8 @@
 """Queries over the given tables, each with its SQL counterpart where SQL can say it."""
 
-from registry import graph_queries, java_queries, resolve_queries, sync_queries, text_queries
+from registry import graph_queries, java_queries, layout_queries, resolve_queries, sync_queries, text_queries
 
-MODULES = [graph_queries, text_queries, resolve_queries, sync_queries, java_queries]
+MODULES = [graph_queries, layout_queries, text_queries, resolve_queries, sync_queries, java_queries]
 
 
 def all_queries():
