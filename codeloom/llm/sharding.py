@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.session import cut
@@ -44,24 +44,19 @@ def permute(x: np.ndarray, n: int) -> np.ndarray:
 def number_rows(df: DataFrame, order: list[Column]) -> tuple[DataFrame, int]:
     """``df`` with ``row_no``, its place in the given order from 0, and the number of rows.
 
-    Rows are range partitioned and sorted, stored, and numbered by the partition's offset; the driver sees one count
-    per partition. The read position breaks ties, so equal rows are split over partitions too."""
+    Rows are range partitioned and sorted, stored, and numbered by the partition's offset, which is joined. The read position breaks ties, so equal rows are split over partitions too."""
     width = [F.col(f"_k{i}") for i in range(len(order))]
     keyed = df.select("*", *[c.alias(f"_k{i}") for i, c in enumerate(order)], F.monotonically_increasing_id().alias("_tie"))
     keyed = cut(keyed)[0]  # the tie must not change between the sampling and the sort
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = keyed.repartitionByRange(parts, *width, F.col("_tie")).sortWithinPartitions(*width, "_tie")
     placed, n = cut(ranged.drop("_tie", *[f"_k{i}" for i in range(len(order))]).withColumn("_at", F.monotonically_increasing_id()))
-    counts = placed.groupBy(F.shiftright("_at", 33).alias("p")).count().orderBy("p").collect()
-    offset, before = {}, 0
-    for p, c in counts:
-        offset[p] = before
-        before += c
-    if not offset:
-        return placed.withColumn("row_no", F.col("_at")).drop("_at"), 0
-    shift = F.create_map(*[F.lit(v) for p, o in offset.items() for v in (p, o)])
-    row = F.element_at(shift, F.shiftright("_at", 33)) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("row_no", row.cast("long")).drop("_at"), n
+    placed = placed.withColumn("_p", F.shiftright("_at", 33))
+    # A row per partition of the sort: numbered by one running sum, and few enough to be broadcast.
+    before = F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = placed.groupBy("_p").count().select("_p", F.coalesce(before, F.lit(0)).alias("_before"))
+    row = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(offsets), "_p").withColumn("row_no", row.cast("long")).drop("_at", "_p", "_before"), n
 
 
 def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

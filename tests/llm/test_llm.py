@@ -154,26 +154,46 @@ def test_parity_sketch_refuses_no_linked_pair(size):
 
 
 def test_line_dedup(docs, nothing):
-    got = {r.doc_id: r for r in line_dedup.dedup(docs.where("doc_id in (3, 4, 9, 10)")).collect()}
+    got = {r.doc_id: r for r in line_dedup.dedup(docs.where("doc_id in (3, 4, 9, 10)"), 4).collect()}
     assert [(got[d].n_lines, got[d].n_removed, got[d].n_spans) for d in (3, 4, 9, 10)] == [(0, 0, 0), (1, 0, 0), (3, 0, 0), (4, 2, 1)]
     assert got[10].kept_sha256 == hashlib.sha256(b"x\ny").hexdigest()
     assert line_dedup.dedup(docs).count() == docs.count() and line_dedup.dedup(nothing).count() == 0
 
 
-@pytest.mark.parametrize("least", [2, 3, 5])
-def test_line_dedup_brute_force(spark, least):
+def brute_lines(texts, least):
+    """The texts without the lines of later copies of any run of ``least`` bytes or more, by all runs of all texts."""
+    seen, out = set(), []
+    for t in texts:
+        lines, gone = (t.split("\n") if t is not None else []), set()
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                run = tuple(lines[i:j])
+                if sum(len(x.encode()) + 1 for x in run) >= least:
+                    gone.update(range(i, j) if run in seen else ())
+                    seen.add(run)
+        out.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else t)
+    return out
+
+
+@pytest.mark.parametrize("least, letters", [(1, ["a", "b", ""]), (4, ["a", "b", "c"]), (10, ["a", "b"]), (7, ["", "a", "bé", "long line"]), (64, ["x" * 63, "y" * 62, "z" * 20, ""])])
+def test_line_dedup_brute_force(spark, least, letters):
     rng = np.random.default_rng(least)
-    texts = ["\n".join(rng.choice(list("abc"), rng.integers(1, 30))) for _ in range(30)]
+    texts = ["\n".join(rng.choice(letters, rng.integers(1, 30))) for _ in range(30)]
+    texts += [*texts[:5], "\n".join(f"only here {i}" for i in range(40)) + "\n" + texts[0]]
     got = {r.doc_id: r.text for r in line_dedup.cleaned(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), least).collect()}
-    seen = set()
-    for d, t in enumerate(texts):
-        lines, gone = t.split("\n"), set()
-        for i in range(len(lines) - least + 1):
-            run = tuple(lines[i:i + least])
-            if run in seen:
-                gone.update(range(i, i + least))
-            seen.add(run)
-        assert got[d] == "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    assert [got[d] for d in range(len(texts))] == brute_lines(texts, least)
+
+
+def test_line_dedup_with_a_hot_line(spark):
+    """With keys of ten rows counted as hot, a line of every document is dealt over tasks and the result stays."""
+    rng = np.random.default_rng(5)
+    texts = ["\n".join(rng.choice(["the line that all share, of quite some length and a little more than that", "b", "c"], 6)) for _ in range(60)]
+    spark.conf.set("spark.codeloom.hotKeyRows", "10")
+    try:
+        got = {r.doc_id: r.text for r in line_dedup.cleaned(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.unset("spark.codeloom.hotKeyRows")
+    assert [got[d] for d in range(len(texts))] == brute_lines(texts, line_dedup.LEAST)
 
 
 def test_bpe_trie(docs, nothing):
@@ -253,6 +273,26 @@ def test_sharding(spark, docs, nothing):
         assert sorted(sharding.permute(np.arange(n), n)) == list(range(n))
 
 
+def test_sharding_equals_plain_python(spark, docs):
+    """Shard and slot of every row, from the sorted rows and the permutation written with Python integers."""
+    rows = sorted(((r.doc_id is not None, r.doc_id or 0), zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 16) for r in docs.collect())
+    n, bits = len(rows), max(1, (max(len(rows) - 1, 1).bit_length() + 1) // 2)
+
+    def place(x):
+        while True:
+            left, right = x >> bits, x & ((1 << bits) - 1)
+            for key in sharding.ROUND_KEYS:
+                t = (right + key) % (1 << 31) * sharding.FACTOR % (1 << 31)
+                t = (t ^ t >> 15) * sharding.FACTOR % (1 << 31)
+                left, right = right, left ^ (t >> 9 & (1 << bits) - 1)
+            x = left << bits | right
+            if x < n:
+                return x
+
+    want = Counter((i if some else None, crc, size, place(k) % 4, place(k) // 4) for k, ((some, i), crc, size) in enumerate(rows))
+    assert Counter((r.doc_id, r.text_crc32, r.size, r.shard, r.slot) for r in sharding.shard(docs, 4).collect()) == want
+
+
 def test_url_parts_equal_a_loop(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
     odd = [(-1, "a://b"), (-2, "x://H/p?q#r"), (-3, "://?x"), (-4, "no scheme"), (-5, None), (-6, "http://É.Example.COM/en/ü://z"), (-7, ""), (-8, "s://net/es/\n?")]
@@ -505,14 +545,8 @@ def brute_stages(rows):
     def place(i, t):
         return i is None, i or 0, hashlib.md5((t or "").encode()).digest()
 
-    gone, seen, lines = {}, set(), []
-    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(f"{'none' if r[0] is None else r[0]}\n{r[1] or ''}".encode()).digest())):
-        split, out = (t.split("\n") if t is not None else []), set()
-        for k in range(len(split) - 1):
-            pair = (split[k], split[k + 1])
-            out |= {k, k + 1} if pair in seen else set()
-            seen.add(pair)
-        gone[i, t] = "\n".join(x for k, x in enumerate(split) if k not in out) if out else t
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(f"{'none' if r[0] is None else r[0]}\n{r[1] or ''}".encode()).digest()))
+    gone = dict(zip(order, brute_lines([t for _, t in order], line_dedup.LEAST)))
     lines = [(i, gone[i, t]) for i, t in rows if gone[i, t] or not t]
     sets = [brute_shingles(t) for _, t in lines]
     label = list(range(len(lines)))
@@ -540,7 +574,8 @@ def test_pipeline_stages_against_brute_force(spark):
     shared, pair = words(80, 130), "a line of its own\nand the next one"
     rows = [(1, a), (1, a), (2, a.replace(" ", "  ", 3)), (3, b), (3, c), (4, b.replace(b.split()[70], "new", 1)), (None, d), (None, d), (None, None), (None, None),
             (5, f"{e} {shared} {words(81, 100)}"), (6, f"{words(82, 120)} {shared}"), (7, pair), (8, pair), (9, f"{words(83, 40)}\n{pair}\n{words(84, 40)}"),
-            (10, ""), (11, None), (11, None), (12, "é" * 450), (13, words(85, 60) + "\nlone line"), (14, words(86, 60) + "\nlone line")]
+            (10, ""), (11, None), (11, None), (12, "é" * 450), (13, words(85, 60) + "\nlone line"), (14, words(86, 60) + "\nlone line"),
+            (15, words(87, 60) + "\n" + words(88, 30)), (16, words(88, 30) + "\n" + words(89, 60)), (17, words(88, 30))]
     docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
     for (name, stage), want in zip(corpus_pipeline.STAGES[1:4], brute_stages(rows)):
         docs = cut(stage(spark, docs, SF))[0]
