@@ -25,7 +25,7 @@ def sync(spark: SparkSession, root: str, folder: str, branch: str = "HEAD") -> s
         index = snapshot.load(spark, folder)
         known = index.metadata.get(POINTER)
     if known is None or not git.is_ancestor(root, known, commit):
-        index = sy.build(java_tree.scan(spark, root), root)
+        index = sy.build(java_tree.scan(spark, root), root, java_tree.skipped(spark, root).count())
         index.metadata[POINTER] = commit
         snapshot.save(index, folder)
         return "full"
@@ -35,7 +35,7 @@ def sync(spark: SparkSession, root: str, folder: str, branch: str = "HEAD") -> s
     files = java_tree.scan(spark, root)
     touched = changes.filter(F.col("status").isin("A", "M")).select("path")
     deleted = changes.filter(F.col("status") == "D").select("path")
-    updated = sy.apply_changes(index, files.join(touched, "path", "left_semi"), deleted)
+    updated = sy.apply_changes(index, files.join(touched, "path", "left_semi"), deleted, java_tree.skipped(spark, root).count())
     updated.metadata[POINTER] = commit
     snapshot.save(updated, folder)
     return "incremental" if updated is not index else "none"

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows a traversal frontier or lookup side may have before it is joined by a
@@ -60,13 +60,19 @@ def cut(df: DataFrame) -> tuple[DataFrame, int]:
     Returns the stored DataFrame and its row count, which is observed during
     the write, so no second job runs.
     """
+    stored, seen = cut_counted(df, {})
+    return stored, seen["rows"]
+
+
+def cut_counted(df: DataFrame, counters: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """As ``cut``, with further aggregates that the same write observes; ``rows`` is the row count."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codeloom-{uuid.uuid4().hex}"
     seen = Observation()
     if _open:
         _open[-1].append(path)
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(name) for name, c in counters.items()]).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get
 
 
 _open: list[list[str]] = []

@@ -57,6 +57,21 @@ def test_incremental_equals_fresh_build(spark, first):
     assert sy.reconcile(first, frame(spark, A)) is first
 
 
+def test_counters_are_stored_with_the_version(spark, first, tmp_path):
+    want = {"files_indexed": 4, "files_skipped": 0, "files_errored": 0, "nodes_created": first.nodes.count(),
+            "edges_created": first.edges.filter("kind in ('contains', 'decorates')").count(), "edges_stored": first.edges.count()}
+    assert first.counters() == want
+    folder = str(tmp_path / "graph")
+    snapshot.save(first, folder)
+    loaded = snapshot.load(spark, folder)
+    assert loaded.counters() == want and loaded.metadata[sy.LAST_INDEXED] == first.metadata[sy.LAST_INDEXED]
+    more = frame(spark, {**A, "src/Blank.java": "", "src/Half.java": "class Half {"})
+    updated = sy.apply_changes(loaded, more, loaded.files.select("path").filter("path = 'src/Old.java'"), oversized=2)
+    assert updated.counters()["files_skipped"] == 2 and updated.counters()["nodes_created"] == updated.nodes.count()
+    assert updated.counters()["files_indexed"] + updated.counters()["files_errored"] == updated.files.count()
+    assert int(updated.metadata[sy.LAST_INDEXED]) >= int(loaded.metadata[sy.LAST_INDEXED])
+
+
 def test_edges_of_first_build(first):
     _, edges, refs = shape(first)
     kinds = {k for _, _, k in edges}
@@ -108,6 +123,10 @@ def test_scan(spark, tmp_path):
     got = {r.path: r.text for r in java_tree.scan(spark, root).collect()}
     assert got == {"a/A.java": "class A { }", "a/bad.java": "class  Bad { @Service }"}
     assert [r.path for r in java_tree.skipped(spark, root).collect()] == ["a/big.java"]
+    routes = {r.path: (r.route, r.severity) for r in java_tree.routed(spark, root).collect()}
+    assert routes == {"a/A.java": ("parsed", None), "a/bad.java": ("undecodable", "warning"), "a/big.java": ("oversized", "warning"),
+                      "note.txt": ("unsupported", "error")}
+    assert java_tree.routed(spark, root).filter("route in ('parsed', 'undecodable')").count() == len(got)
     assert java_tree.detect_frameworks(spark, root, java_tree.scan(spark, root)) == ["spring"]
     assert java_tree.detect_frameworks(spark, None, frame(spark, {"x": "class X"})) == []
     (tmp_path / "pom.xml").write_text("<a>spring-boot</a>")
