@@ -12,7 +12,7 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.graph import Graph
@@ -20,7 +20,7 @@ from codeloom.operators.skew import lookup_join
 from codeloom.plans.search import (
     K1, TEXT_COLUMNS, B, Phrase, _accepts, _score, query_phrases, search_segments, search_substring, segment_vocab, tokens,
 )
-from codeloom.session import cut, shared_dir
+from codeloom.session import broadcast_rows, cut, shared_dir
 
 #: Nodes in one block of a term's postings.
 BLOCK = 128
@@ -31,7 +31,7 @@ class SearchIndex:
     """Stored relations ``postings(term, imports, block, n, best, entries)`` and ``vocab(segment, name)``, and the corpus figures."""
 
     postings: DataFrame
-    vocab: DataFrame
+    vocab: DataFrame | None
     total: int
     mean: float
 
@@ -57,30 +57,41 @@ def _factor(tf: Column, dl: Column, mean: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(mean)))
 
 
-def build(nodes: DataFrame, folder: str | None = None) -> SearchIndex:
-    """Index ``nodes`` under ``folder`` (a new one in the shared folder by default). Every node text is read once."""
+def build(nodes: DataFrame, folder: str | None = None, names: bool = True) -> SearchIndex:
+    """Index ``nodes`` under ``folder`` (a new one in the shared folder by default). Every node text is read once.
+
+    The vocabulary repeats a name with each of its segments; ``ranked`` does not read it, so it may be left out where the
+    names are long texts (not ``names``). ``search`` needs it."""
     spark = nodes.sparkSession
     folder = folder or f"{shared_dir(spark)}/codeloom-index-{uuid.uuid4().hex}"
-    placed, _ = cut(_positioned(nodes))
-    figures = placed.agg(F.count(F.lit(1)).alias("total"), F.avg("dl").alias("mean"))
-    total, mean = figures.first()
-    per_node = placed.select("id", "kind", "dl", F.explode("words").alias("w")).groupBy(F.col("w.term").alias("term"), "id", "kind", "dl").agg(
-        F.sort_array(F.collect_list("w.at")).alias("at"))  # bounded by one node's text
-    # A term's nodes are dealt over blocks by a hash of the id; the number of blocks follows the term's nodes.
-    sizes = per_node.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    dealt = lookup_join(per_node, sizes, ["term"], "inner").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    # Dealt by node before the words are split off, so that the grouping by word and node moves no row.
+    figures = F.count(F.lit(1)).alias("total"), F.avg("dl").alias("mean")
+    seen = Observation()
+    placed = _positioned(nodes.repartition("id")).observe(seen, *figures)
+    per_node, rows = cut(placed.select("id", "kind", "dl", F.explode("words").alias("w")).groupBy(F.col("w.term").alias("term"), "id", "kind", "dl").agg(
+        F.sort_array(F.collect_list("w.at")).alias("at")))  # bounded by one node's text
+    # A plan without rows drops the observation.
+    total, mean = (seen.get["total"], seen.get["mean"]) if rows else _positioned(nodes).agg(*figures).first()
+    # A term's nodes are dealt over blocks by a hash of the id; the number of blocks follows the term's nodes. Only terms
+    # of more than one block are looked up.
+    sizes, several = cut(per_node.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("blocks > 1"))
+    sized = per_node.join(F.broadcast(sizes), "term", "left") if several <= broadcast_rows(spark) else lookup_join(
+        per_node, sizes, ["term"], "left", stored=True)
+    dealt = sized.withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))))
     entry = F.struct("id", "kind", "dl", "at")
-    postings = dealt.groupBy("term", (F.col("kind") == "import").alias("imports"), "block").agg(
+    # A block's rows meet in the range that they are stored in.
+    postings = dealt.repartitionByRange("term", "block").groupBy("term", (F.col("kind") == "import").alias("imports"), "block").agg(
         F.count(F.lit(1)).alias("n"), F.max(_factor(F.size("at"), F.col("dl"), mean or 1.0)).alias("best"), F.collect_list(entry).alias("entries"))
-    postings.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("errorifexists").parquet(f"{folder}/postings")
-    segment_vocab(nodes).repartitionByRange("segment", "name").sortWithinPartitions("segment", "name").write.mode("errorifexists").parquet(f"{folder}/vocab")
+    postings.sortWithinPartitions("term", "block").write.mode("errorifexists").parquet(f"{folder}/postings")
+    if names:
+        segment_vocab(nodes).repartitionByRange("segment", "name").sortWithinPartitions("segment", "name").write.mode("errorifexists").parquet(f"{folder}/vocab")
     spark.createDataFrame([(total, mean)], "total long, mean double").coalesce(1).write.mode("errorifexists").parquet(f"{folder}/figures")
-    return load(spark, folder)
+    return load(spark, folder, names)
 
 
-def load(spark: SparkSession, folder: str) -> SearchIndex:
+def load(spark: SparkSession, folder: str, names: bool = True) -> SearchIndex:
     total, mean = spark.read.parquet(f"{folder}/figures").first()
-    return SearchIndex(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/vocab"), total, mean or 1.0)
+    return SearchIndex(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/vocab") if names else None, total, mean or 1.0)
 
 
 def _is(word: str, prefix: bool) -> Column:

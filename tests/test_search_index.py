@@ -64,3 +64,16 @@ def test_empty_table(spark, nodes):
     index = search_index.build(nodes.where("false"))
     assert index.total == 0 and search_index.ranked(index, "order").count() == 0
     assert search_index.search(Graph(nodes.where("false"), None), index, "order").count() == 0
+
+
+def test_build_without_vocabulary(spark, nodes, monkeypatch):
+    """No vocabulary of long texts, and no join of the postings by word."""
+    def never(*_, **__):
+        raise AssertionError("not needed")
+
+    monkeypatch.setattr(search_index, "segment_vocab", never)
+    monkeypatch.setattr(search_index, "lookup_join", never)
+    index = search_index.build(nodes, names=False)
+    assert index.vocab is None and index.postings.where("block > 0").count() > 0
+    for query in ('"load item"', 'item "by name" OR ete load*'):
+        assert rounded(search_index.ranked(index, query)) == rounded(search.bm25_scan(nodes, search.TEXT_COLUMNS, query))
