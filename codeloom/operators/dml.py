@@ -87,11 +87,15 @@ def cross_file_incoming(nodes: DataFrame, edges: DataFrame, paths: DataFrame) ->
     target, n = cut(target)
     source = nodes.select(F.col("id").alias("source"), F.col("file_path").alias("source_path"))
     if n <= broadcast_rows(nodes.sparkSession):
-        into = edges.join(F.broadcast(target), "target")
+        # Only the edges' own columns are written and shuffled; the target's are added at the end.
+        into = edges.join(F.broadcast(target.select("target")), "target", "left_semi").select(*edges.columns)
+        found = lookup_join(into, source, ["source"], "inner").join(F.broadcast(target), "target")
     else:
-        into = lookup_join(edges, target, ["target"], "inner")
-    # A hub may own many of these edges: its one row is repeated instead.
-    return lookup_join(into, source, ["source"], "inner").filter(F.col("source_path") != F.col("target_path"))
+        # A hub may own many of the edges: its one row is repeated instead. The edges are written once for both ends.
+        edges, rows = cut(edges)
+        into = lookup_join(edges, target, ["target"], "inner", rows, stored=True)
+        found = lookup_join(into, source, ["source"], "inner", rows, stored=True, keys_of=edges)
+    return found.filter(F.col("source_path") != F.col("target_path"))
 
 
 def mark_failed(refs: DataFrame, failed_ids: DataFrame) -> DataFrame:

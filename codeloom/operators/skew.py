@@ -16,6 +16,24 @@ def _row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
+#: Hash buckets whose rows are counted before any keys are.
+BUCKETS = 4096
+
+
+def hot_keys(df: DataFrame, on: list[str], least: int) -> tuple[DataFrame, int]:
+    """(on..., _spread) of the keys with at least ``least`` rows, and their number.
+
+    A hot key fills its hash bucket, so rows are counted by bucket first, which shuffles at most BUCKETS rows a task; keys are
+    counted in full buckets only."""
+    bucket = F.pmod(F.xxhash64(*on), F.lit(BUCKETS))
+    full, n = cut(df.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select("_b"))
+    if n == 0:
+        return full, 0
+    return cut(
+        df.join(F.broadcast(full), bucket == F.col("_b"), "left_semi").groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") >= least).select(*on, F.ceil(F.col("_n") / least).cast("int").alias("_spread")))
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -44,11 +62,7 @@ def lookup_join(
         left, rows = cut(left)
         if rows < hot_min:
             return left.join(right, on, how)
-    hot, keys = cut(
-        (left if keys_of is None else keys_of).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= hot_min)
-        .select(*on, F.ceil(F.col("_n") / hot_min).cast("int").alias("_spread"))
-    )
+    hot, keys = hot_keys(left if keys_of is None else keys_of, on, hot_min)
     if keys == 0:
         return left.join(right, on, how)
     if keys <= broadcast_rows(spark):

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators import dml
+from codeloom.operators import dml, skew
 from codeloom.operators.skew import ends_join
+from codeloom.session import cut
 
 HUB = 4000
 
@@ -64,3 +65,23 @@ def test_no_task_holds_a_hub(spark, tables):
     finally:
         for k in [*conf, "spark.codeloom.hotKeyRows"]:
             spark.conf.unset(k)
+
+
+def test_only_keys_of_full_buckets_are_counted(spark, monkeypatch):
+    counted = []
+    monkeypatch.setattr(skew, "cut", lambda df: counted.append(df) or cut(df))
+    edges = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("source")).union(
+        spark.range(500).select(F.lit("hub").alias("source"))).union(spark.range(90).select(F.lit(None).cast("string").alias("source")))
+    assert skew.hot_keys(edges, ["source"], 1000)[1] == 0 and len(counted) == 1
+    hot, n = skew.hot_keys(edges, ["source"], 80)
+    assert n == 2 and {(r.source, r._spread) for r in hot.collect()} == {("hub", 7), (None, 2)}
+
+
+def test_targets_are_not_written_with_the_edges(spark, tables, sizes, monkeypatch):
+    nodes, edges = tables
+    written = []
+    for module in (skew, dml):
+        monkeypatch.setattr(module, "cut", lambda df: written.append(set(df.columns)) or cut(df))
+    dml.cross_file_incoming(nodes, edges, spark.createDataFrame([("f1",)], "file_path string"))
+    assert sum({"source", "target"} <= c for c in written) == 1
+    assert not any({"source", "target_name"} <= c for c in written)
