@@ -27,6 +27,8 @@ WORDS = 5
 LEAST = 75
 #: Slots of the parity sketch.
 SLOTS = 512
+#: Text bytes whose shingles are made at a time; a step takes about 40 times as much memory.
+STEP_BYTES = 1 << 20
 #: Rows of a bucket that are compared at a time; larger buckets are split into pairs of blocks.
 BLOCK = 256
 
@@ -122,7 +124,7 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     non-empty shingle set, whose id is the smallest doc_id (a negative number from the fingerprint if all are null)."""
 
     def run(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", STEP_BYTES):
             sets = shingles(*flat(batch.column("text")))
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
@@ -267,7 +269,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame
     unnamed = docs.where("doc_id is null")
 
     def run(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", STEP_BYTES):
             sets = [s for s in shingles(*flat(batch.column("text"))) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                                               pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "n", "set"])

@@ -606,3 +606,22 @@ def test_pipeline_stages_against_brute_force(spark):
     for r in packed:
         used[r.sequence_id] += r.length
     assert sorted(2048 - n for n in used.values()) == sorted(room)
+
+
+def test_shingles_are_made_in_small_steps():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from codeloom.llm import hamming_dedup as hd
+    from codeloom.llm.base import flat, pieces
+
+    text = " ".join(f"w{i % 977}" for i in range(800))
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * 2500)], names=["text"])
+    tracemalloc.start()
+    try:
+        n = sum(len(hd.shingles(*flat(b.column("text")))) for b in pieces([batch], "text", hd.STEP_BYTES))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 2500 and peak < 120 << 20
