@@ -151,9 +151,15 @@ class Impact:
     def __init__(self, graph: Graph, node_id: str, max_depth: int = 3):
         self.graph = graph
         self.max_depth = max_depth
-        if not graph.layouts:
+        self._walked = None
+        if graph.stored and not graph.layouts:
             # Derived even where the edges are stored: written once, not computed in every round.
             steps, step_rows = cut(_impact_steps(_containment(graph), graph.edges.filter(F.col("kind") != "contains")))
+        elif not graph.layouts:
+            # Edges that are derived themselves are written whole, so that ``edges`` reads them again.
+            others = graph.edges.filter(F.col("kind") != "contains")
+            self._walked, step_rows = cut(_containment(graph).unionByName(others))
+            steps = _impact_steps(self._walked.filter(F.col("kind") == "contains"), self._walked.filter(F.col("kind") != "contains"))
         frontier = graph.node(node_id).select("id", F.lit(0).alias("distance"))
         self._known: list[tuple[DataFrame, int]] = []
         while True:
@@ -188,6 +194,8 @@ class Impact:
         if graph.layouts:
             near = graph.layouts.near(followed, rows)
             inside, into = near("source").where("holder"), near("target")
+        elif self._walked is not None:
+            inside, into = self._walked.filter(F.col("kind") == "contains"), self._walked
         else:
             inside, into = _containment(graph), graph.edges
         followed = _bounded(followed, rows)

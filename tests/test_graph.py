@@ -119,3 +119,15 @@ def test_upsert_and_failed(spark):
     bad = spark.createDataFrame([("", "class", "n", None, "f", "java"), ("i", "class", "n", None, "f", "java")],
                                 "id string, kind string, name string, qualified_name string, file_path string, language string")
     assert [tuple(r)[:4] for r in dml.valid_nodes(bad).collect()] == [("i", "class", "n", "n")]
+
+
+def test_derived_edges_of_a_walk_are_made_once(spark, monkeypatch):
+    from codeloom.operators import traverse
+    from codeloom.sources.tables import order_graph
+
+    calls, made = [], traverse._containment
+    monkeypatch.setattr(traverse, "_containment", lambda g: calls.append(g) or made(g))
+    graph = order_graph(spark, "/root/testdata/sf0.001")
+    got = traverse.impact(graph, "class:3", 2).edges.collect()
+    assert len(calls) == 1
+    assert sorted(map(str, got)) == sorted(map(str, traverse.impact(graph.store(), "class:3", 2).edges.collect()))
