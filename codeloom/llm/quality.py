@@ -13,6 +13,8 @@ from codeloom.session import cut
 
 #: Hashed features, latent dimensions, neighbours that vote, labelled rows per class that are fitted (a documented bound).
 FEATURES, RANK, NEIGHBOURS, PER_CLASS = 2048, 48, 25, 1500
+#: Labelled rows that the fit weights at a time.
+BLOCK = 256
 
 
 def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -45,11 +47,15 @@ class Model:
     def __init__(self, idf: np.ndarray, counts: np.ndarray, labels: np.ndarray, prior: float = 0.5):
         self.idf, self.labels, self.prior = idf.astype(np.float32), labels.astype(np.float64), prior
         self.basis = np.zeros((FEATURES, RANK), np.float32)
+        # In blocks of rows: the driver holds no second copy of the counts.
+        blocks = [counts[a:a + BLOCK] for a in range(0, max(1, len(counts)), BLOCK)]
         if len(labels):
-            x = weighted(counts, self.idf)
-            values, vectors = np.linalg.eigh(x.T.astype(np.float64) @ x)
-            self.basis = vectors[:, ::-1][:, :RANK].astype(np.float32)
-        self.known = self.project(counts)
+            products = np.zeros((FEATURES, FEATURES))
+            for block in blocks:
+                x = weighted(block, self.idf).astype(np.float64)
+                products += x.T @ x
+            self.basis = np.linalg.eigh(products)[1][:, ::-1][:, :RANK].astype(np.float32)
+        self.known = np.concatenate([self.project(block) for block in blocks])
 
     def project(self, counts: np.ndarray) -> np.ndarray:
         y = weighted(counts, self.idf) @ self.basis
@@ -111,8 +117,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # A repeated document id gives one vector.
     got = got.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("counts").alias("counts")).collect()
     got.sort(key=lambda r: (bytes(r.counts), r.quality))
-    counts = np.array([np.frombuffer(r.counts, np.uint32) for r in got], np.float32).reshape(-1, FEATURES)
-    return Model(idf, counts, np.array([r.quality for r in got]), 0.5 if prior is None else float(prior))
+    quality = np.array([r.quality for r in got])
+    counts = np.empty((len(got), FEATURES), np.float32)
+    for i in range(len(got)):  # a collected row goes as soon as it is read
+        counts[i], got[i] = np.frombuffer(got[i].counts, np.uint32), None
+    return Model(idf, counts, quality, 0.5 if prior is None else float(prior))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:

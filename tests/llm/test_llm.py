@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import string
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -110,6 +112,30 @@ def test_suffix_dedup(spark, docs, nothing, monkeypatch, length, crowd):
     assert Counter((r.doc_id, r.text) for r in kept) == Counter((r.doc_id, r.text if r.text is None else later[r.text]) for r in rows)
 
 
+def test_suffix_dedup_stores_no_lone_segments_and_no_rounds_in_the_plan(spark, monkeypatch):
+    rng = random.Random(5)
+    lone = ["".join(rng.choices(string.ascii_lowercase, k=3000)) for _ in range(40)]
+    texts = suffix_dedup.keyed(spark.createDataFrame([*enumerate([*lone, *crowded_texts()])], "doc_id long, text string"))
+    alone = {hashlib.md5(t.encode()).digest() for t in lone}
+    seen = []
+    real = suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df: seen.append(real(df)) or seen[-1])
+    monkeypatch.setattr(suffix_dedup, "CROWD", 5)
+    runs = suffix_dedup.repeated_runs(texts, texts.select("key", "doc_id").dropDuplicates(["key"]), 200, True)
+    first = next(t for t in seen if "anchor" in t.columns)
+    assert first.count() > 0 and not alone & {bytes(r.key) for r in first.select("key").collect()}
+    assert "MapInArrow" not in runs._jdf.queryExecution().toString()
+
+
+def test_quality_model_holds_no_second_copy_of_the_counts():
+    counts = np.random.default_rng(1).poisson(0.6, (2 * quality.PER_CLASS, quality.FEATURES)).astype(np.float32)
+    tracemalloc.start()
+    quality.Model(np.ones(quality.FEATURES), counts, np.arange(len(counts)) % 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * 8 * quality.FEATURES ** 2
+
+
 def test_suffix_dedup_empty_and_columns(docs, nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0 and suffix_dedup.cleaned(nothing, keep_first=True).count() == 0
     assert suffix_dedup.cleaned(docs).columns == docs.columns
