@@ -153,8 +153,8 @@ class Impact:
         self.max_depth = max_depth
         self._walked = None
         if graph.stored and not graph.layouts:
-            # Derived even where the edges are stored: written once, not computed in every round.
-            steps, step_rows = cut(_impact_steps(_containment(graph), graph.edges.filter(F.col("kind") != "contains")))
+            # Only the steps inward from a container are derived: written once. The others are read as they are stored.
+            steps, step_rows = _impact_steps(cut(_containment(graph))[0], graph.edges.filter(F.col("kind") != "contains")), graph.edge_rows
         elif not graph.layouts:
             # Edges that are derived themselves are written whole, so that ``edges`` reads them again.
             others = graph.edges.filter(F.col("kind") != "contains")

@@ -12,6 +12,7 @@ from codeloom.graph import Graph
 from codeloom.operators.lookup import lookup
 from codeloom.operators.traverse import callees, callers, impact
 from codeloom.plans.search import search
+from codeloom.session import cut
 
 # File count limits with node and character budgets and advised calls.
 TIERS = [(500, 20, 8000), (5000, 40, 15000), (15000, 60, 20000), (None, 80, 25000)]
@@ -37,11 +38,11 @@ def budget(files: DataFrame) -> DataFrame:
     return count.select(n, _tier(n, TIERS, 1).alias("max_nodes"), _tier(n, TIERS, 2).alias("max_chars"), _tier(n, CALLS, 1).alias("calls"))
 
 
-def _show(df: DataFrame, section: str, order: list[str], take: int) -> DataFrame:
-    """The first ``take`` rows of a section with the total beside them."""
+def _show(df: DataFrame, section: str, order: list[str], take: int, rows: int | None = None) -> DataFrame:
+    """The first ``take`` rows of a section with the total beside them, which are the ``rows`` of a stored list."""
     cols = ["id", "kind", "name", "file_path", "start_line"]
     top = df.select(*cols, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)]).orderBy(*[f"_o{i}" for i in range(len(order))]).limit(take)
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar() if rows is None else F.lit(rows).cast("long")
     return top.select(F.lit(section).alias("section"), *cols, total.alias("total"))
 
 
@@ -50,20 +51,23 @@ def explore(graph: Graph, symbol: str, files: DataFrame) -> DataFrame:
     focal, callers, callees, impact, ancestor and related, or of ``candidates``
     when no node has that name. Lists are cut to a third of the node budget."""
     graph = graph.store()
-    focal = lookup(graph.nodes, symbol)
+    focal, one = cut(lookup(graph.nodes, symbol))
     hit = focal.select("id").first()  # at most one row
     order = ["distance", "file_path", "seq", "id"]
     if hit is None:
         found = search(graph, symbol, MISS_CANDIDATES)
         return _show(found, "candidates", ["score", "file_path", "seq", "id"], MISS_CANDIDATES)
     take = budget(files).first()["max_nodes"] // 3
-    ins, outs = callers(graph, hit["id"], 1), callees(graph, hit["id"], 1)
-    blast = impact(graph, hit["id"], 3).nodes.filter(F.col("id") != hit["id"])
-    near = related(ins, outs)
+    # Each list is made once: the sections and their totals would walk the edges a dozen times.
+    ins, n_ins = cut(callers(graph, hit["id"], 1))
+    outs, n_outs = cut(callees(graph, hit["id"], 1))
+    blast, n_blast = cut(impact(graph, hit["id"], 3).nodes.filter(F.col("id") != hit["id"]))
+    above, n_above = cut(graph.ancestor(hit["id"]))
+    near, n_near = cut(related(ins, outs))
     return reduce(DataFrame.unionByName, [
-        _show(focal, "focal", ["id"], 1), _show(ins, "callers", order, take), _show(outs, "callees", order, take),
-        _show(blast, "impact", order, take), _show(graph.ancestor(hit["id"]), "ancestor", ["id"], 1),
-        _show(near, "related", ["turn", *order[1:]], RELATED_SHOWN)])
+        _show(focal, "focal", ["id"], 1, one), _show(ins, "callers", order, take, n_ins), _show(outs, "callees", order, take, n_outs),
+        _show(blast, "impact", order, take, n_blast), _show(above, "ancestor", ["id"], 1, n_above),
+        _show(near, "related", ["turn", *order[1:]], RELATED_SHOWN, n_near)])
 
 
 def related(ins: DataFrame, outs: DataFrame) -> DataFrame:

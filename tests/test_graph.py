@@ -131,3 +131,30 @@ def test_derived_edges_of_a_walk_are_made_once(spark, monkeypatch):
     got = traverse.impact(graph, "class:3", 2).edges.collect()
     assert len(calls) == 1
     assert sorted(map(str, got)) == sorted(map(str, traverse.impact(graph.store(), "class:3", 2).edges.collect()))
+
+
+def test_impact_of_a_stored_graph_copies_no_other_edges(spark, monkeypatch):
+    from codeloom.operators import traverse
+    from codeloom.sources.tables import order_graph
+
+    graph = order_graph(spark, "/root/testdata/sf0.001")
+    want = {tuple(r) for r in traverse.impact(graph, "class:3").ids.collect()}
+    graph = graph.store()
+    real, kinds = traverse.cut, set()
+
+    def seen(df):
+        out = real(df)
+        kinds.update(r.kind for r in out[0].select("kind").distinct().collect()) if "kind" in df.columns else None
+        assert not {"src", "dst"} <= set(df.columns)
+        return out
+
+    monkeypatch.setattr(traverse, "cut", seen)
+    assert {tuple(r) for r in traverse.impact(graph, "class:3").ids.collect()} == want and kinds == {"contains"}
+
+
+def test_explore_makes_each_list_once(spark):
+    from codeloom.plans.explore import explore
+    from codeloom.sources.tables import order_graph
+
+    sections = explore(order_graph(spark, "/root/testdata/sf0.001"), "NATION_3", spark.range(10))
+    assert sections.count() and "Join" not in sections._jdf.queryExecution().optimizedPlan().toString()
