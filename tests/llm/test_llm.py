@@ -127,6 +127,37 @@ def test_suffix_dedup_stores_no_lone_segments_and_no_rounds_in_the_plan(spark, m
     assert "MapInArrow" not in runs._jdf.queryExecution().toString()
 
 
+def periodic_texts():
+    """Stretches of one letter, of two and of one line, alone, side by side, shared by other texts and in other phases."""
+    line = words(91, 25) + "\n"
+    return [line * 40, words(92, 40) + line * 12 + words(93, 90), (line * 9)[7:] + words(94, 30) + line * 5, "q" * 5000, "pq" * 700 + "qp" * 900,
+            words(95, 90) + "xyz" * 500, "xy" * 300 + words(96, 40) + "xy" * 300, "u" * 401, "v" * 400, words(97, 200)]
+
+
+@pytest.mark.parametrize(("length", "crowd", "step"), [(400, 200, 1 << 20), (200, 5, 3000)])
+def test_suffix_dedup_periodic_texts(spark, monkeypatch, length, crowd, step):
+    ship(spark)
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "STEP", step)
+    texts = periodic_texts()
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = [tuple(r) for r in suffix_dedup.remove_repeats(docs, length=length).collect()]
+    assert Counter(got) == Counter((i, *w) for i, w in enumerate(brute_repeats(texts, length)))
+    later = brute_later(texts, length)
+    kept = suffix_dedup.cleaned(docs, length=length, keep_first=True).collect()
+    assert {r.doc_id: r.text for r in kept} == {i: later[t] for i, t in enumerate(texts)}
+
+
+def test_suffix_dedup_periods_are_one_row(spark):
+    """A stretch that repeats itself gives as many rows whatever its length; before, it gave one per period, all under one anchor."""
+    ship(spark)
+    line = words(91, 25) + "\n"
+    for unit in ("q", "pq", line):
+        docs = spark.createDataFrame([(i, unit * (n // len(unit))) for i, n in enumerate((3000, 60000))], "doc_id long, text string")
+        rows = suffix_dedup.all_segments(suffix_dedup.keyed(docs).select("key", "text"), 400).groupBy("key").count().collect()
+        assert len(rows) == 2 and max(r["count"] for r in rows) <= 4, unit
+
+
 def test_quality_model_holds_no_second_copy_of_the_counts():
     counts = np.random.default_rng(1).poisson(0.6, (2 * quality.PER_CLASS, quality.FEATURES)).astype(np.float32)
     tracemalloc.start()
